@@ -79,9 +79,18 @@ def upper_class() -> str:
 
 
 @lru_cache(maxsize=None)
+def _single_char_lowers() -> dict[str, str]:
+    """One pass over all code points: lowercase target -> characters mapping onto it."""
+    out: dict[str, list[str]] = {}
+    for c in range(sys.maxunicode + 1):
+        ch = chr(c)
+        lo = ch.lower()
+        if len(lo) == 1:
+            out.setdefault(lo, []).append(ch)
+    return {k: "".join(sorted(set(v))) for k, v in out.items()}
+
+
 def lower_preimage(target: str) -> str:
     """All single characters ``x`` with ``x.lower() == target`` (``target`` included)."""
-    chars = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).lower() == target]
-    if target not in chars:
-        chars.insert(0, target)
-    return "".join(sorted(set(chars)))
+    chars = _single_char_lowers().get(target, "")
+    return chars if target in chars else target + chars

@@ -111,3 +111,45 @@ pool_rk AS (SELECT *, row_number() OVER (ORDER BY {hash_key("'pool'", vc('doc_id
             count(*) OVER () AS n FROM pool),
 dataset AS (SELECT * FROM mapped
             UNION ALL SELECT doc_id, label, text, {split_case('r', 'n', split)} FROM pool_rk)"""
+
+
+# ---------------------------------------------------------------------------
+# Feature twins
+# ---------------------------------------------------------------------------
+
+def ratio(num: str, den: str) -> str:
+    return f"(CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0))"
+
+
+def words(t: str) -> str:
+    return f"list_filter(regexp_split_to_array({t}, {q(T.WS_RUN_PATTERN)}), lambda w: w <> '')"
+
+
+def style_select(t: str) -> str:
+    from penprint.functions.charclass import digit_class, lower_preimage, upper_class
+    from penprint.functions.features import FREQ_CHARS, SHORT_WORD
+    ws = words(t)
+    cols = [
+        f"{ratio(f'coalesce(list_sum(list_transform({ws}, lambda w: length(w))), 0)', f'len({ws})')} AS avg_len",
+        f"CAST(length({t}) AS DOUBLE) AS len_text",
+        f"CAST(len({ws}) AS DOUBLE) AS len_words",
+        f"CAST(len(list_filter({ws}, lambda w: length(w) < {SHORT_WORD})) AS DOUBLE) AS num_short_w",
+        f"{ratio(f'length({t}) - length({rx_replace(t, digit_class())})', f'length({t})')} AS per_digit",
+        f"{ratio(f'length({t}) - length({rx_replace(t, upper_class())})', f'length({t})')} AS per_cap",
+        f"{ratio(f'len(list_distinct({ws}))', f'len({ws})')} AS richness",
+    ]
+    for c in FREQ_CHARS:
+        kept = f"translate({t}, {q(lower_preimage(c))}, '')"
+        num = f"length({t}) - length({kept})"
+        cols.append(f"{ratio(num, f'length({t})')} AS \"cf_{c}\"")
+    return ",\n  ".join(cols)
+
+
+def ngrams(chars: str, n: int) -> str:
+    """n-grams from a character list column (``string_split(t, '')`` computed once)."""
+    parts = " || ".join(f"{chars}[i + {j}]" for j in range(n))
+    return f"list_transform(range(1, len({chars}) - {n - 2}), lambda i: {parts})"
+
+
+def padded(t: str) -> str:
+    return f"(' ' || {t} || ' ')"
