@@ -153,3 +153,27 @@ def ngrams(chars: str, n: int) -> str:
 
 def padded(t: str) -> str:
     return f"(' ' || {t} || ' ')"
+
+
+# ---------------------------------------------------------------------------
+# Metric twins
+# ---------------------------------------------------------------------------
+
+def macro_metrics_ctes(source: str, group: str | None = None) -> str:
+    """``metrics(grp, accuracy, f1, precision, recall)`` from ``source(grp, y, p)``."""
+    g = group or "0"
+    return f"""
+conf AS (SELECT {g} AS grp, y, p, count(*) AS c FROM {source} GROUP BY ALL),
+roles AS (SELECT grp, y AS cls, CASE WHEN y = p THEN c ELSE 0 END AS tp, 0 AS fp,
+                 CASE WHEN y <> p THEN c ELSE 0 END AS fn FROM conf
+          UNION ALL
+          SELECT grp, p AS cls, 0 AS tp, CASE WHEN y <> p THEN c ELSE 0 END AS fp, 0 AS fn FROM conf),
+pc AS (SELECT grp, cls, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM roles GROUP BY grp, cls),
+pcm AS (SELECT grp,
+          CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision,
+          CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall,
+          CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END AS f1
+        FROM pc),
+macro AS (SELECT grp, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM pcm GROUP BY grp),
+acc AS (SELECT grp, sum(CASE WHEN y = p THEN c ELSE 0 END) / sum(c) AS accuracy FROM conf GROUP BY grp),
+metrics AS (SELECT macro.grp, accuracy, f1, precision, recall FROM macro JOIN acc ON macro.grp = acc.grp)"""
