@@ -22,5 +22,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[Callable, str | None]]:
     # Import side effects fill QUERIES.
-    from penprint.plans import queries_core, queries_features, queries_scoring  # noqa: F401
+    from penprint.plans import queries_core, queries_features, queries_prompting, queries_scoring  # noqa: F401
     return QUERIES

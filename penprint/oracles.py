@@ -177,3 +177,64 @@ pcm AS (SELECT grp,
 macro AS (SELECT grp, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM pcm GROUP BY grp),
 acc AS (SELECT grp, sum(CASE WHEN y = p THEN c ELSE 0 END) / sum(c) AS accuracy FROM conf GROUP BY grp),
 metrics AS (SELECT macro.grp, accuracy, f1, precision, recall FROM macro JOIN acc ON macro.grp = acc.grp)"""
+
+
+# ---------------------------------------------------------------------------
+# Prompting twins
+# ---------------------------------------------------------------------------
+
+def prompt_set_ctes(n: int | None, reps: int) -> str:
+    """``prompt_set(rep, label, author, query_text, example_text)`` after ``corpus_ctes``."""
+    if n is None:
+        pa = ("SELECT r.rep, c.label, row_number() OVER (PARTITION BY r.rep ORDER BY c.label) AS rn "
+              "FROM counts c CROSS JOIN reps r")
+        drawn = "SELECT rep, label, CAST(rn - 1 AS INTEGER) AS author_idx FROM pa"
+    else:
+        pa = (f"SELECT r.rep, c.label, row_number() OVER (PARTITION BY r.rep ORDER BY "
+              f"{hash_key(q('authors'), vc('r.rep'), 'c.label')}, c.label) AS rn "
+              f"FROM counts c CROSS JOIN reps r")
+        drawn = f"SELECT rep, label, CAST(rn - 1 AS INTEGER) AS author_idx FROM pa WHERE rn <= {n}"
+    return f"""
+reps AS (SELECT CAST(unnest(range(0, {reps})) AS INTEGER) AS rep),
+pa AS ({pa}),
+drawn AS ({drawn}),
+tx AS (SELECT d.rep, d.label, d.author_idx, c.text,
+       row_number() OVER (PARTITION BY d.rep, d.label ORDER BY
+         {hash_key(q('texts'), vc('d.rep'), vc('c.doc_id'))}, c.doc_id) AS rn
+       FROM corpus c JOIN drawn d ON c.label = d.label),
+prompt_set AS (SELECT rep, author_idx AS label, label AS author,
+       max(CASE WHEN rn = 1 THEN text END) AS query_text,
+       max(CASE WHEN rn = 2 THEN text END) AS example_text
+       FROM tx GROUP BY rep, label, author_idx)"""
+
+
+def example_json_cte(source: str = "prompt_set") -> str:
+    return f"""
+ej AS (SELECT rep, '{{' || string_agg(to_json(CAST(label AS VARCHAR)) || ': ' || to_json(example_text),
+       ', ' ORDER BY label) || '}}' AS example_json FROM {source} GROUP BY rep)"""
+
+
+def sentences(t: str) -> str:
+    from penprint.functions.prompts import SENTENCE_SEP
+    return f"string_split(regexp_replace({t}, '([.!?]) +', '\\1{SENTENCE_SEP}', 'g'), '{SENTENCE_SEP}')"
+
+
+def crop(t: str, budget: str) -> str:
+    """B15 twin: prefix sums over sentence token counts (monotone), keep those <= budget."""
+    s = sentences(t)
+    toks = f"list_transform({s}, lambda x: len(regexp_extract_all(x, {q(T.TOKEN_PATTERN)})))"
+    pref = f"list_transform(range(1, len({toks}) + 1), lambda i: list_sum(({toks})[1:i]))"
+    k = f"len(list_filter({pref}, lambda v: v <= {budget}))"
+    cropped = f"trim(array_to_string(({s})[1:{k}], ' '))"
+    return f"CASE WHEN {tokens(t)} < {budget} THEN {t} ELSE {cropped} END"
+
+
+def fill(template: str, values: dict[str, str]) -> str:
+    import string as _s
+    parts = []
+    for literal, field, _, _ in _s.Formatter().parse(template):
+        if literal:
+            parts.append(q(literal))
+        if field is not None:
+            parts.append(f"CAST({values[field]} AS VARCHAR)")
+    return " || ".join(parts) if parts else "''"
