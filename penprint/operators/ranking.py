@@ -66,8 +66,10 @@ def rank_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str],
     else:
         key = F.col(bucket_col)
         if dict(df.dtypes).get(bucket_col, "").startswith("timestamp"):
-            key = F.unix_micros(key)
-            x = x.withColumn("_lo", F.unix_micros("_lo")).withColumn("_hi", F.unix_micros("_hi"))
+            # Any monotone map to numbers will do; NTZ values are read in the session zone.
+            key = F.unix_micros(key.cast("timestamp"))
+            x = (x.withColumn("_lo", F.unix_micros(F.col("_lo").cast("timestamp")))
+                 .withColumn("_hi", F.unix_micros(F.col("_hi").cast("timestamp"))))
         x = x.withColumn("_b", _range_bucket(key, F.col("_lo"), F.col("_hi"), F.col("_nb")))
         x = x.drop("_lo", "_hi")
 

@@ -238,3 +238,47 @@ def fill(template: str, values: dict[str, str]) -> str:
         if field is not None:
             parts.append(f"CAST({values[field]} AS VARCHAR)")
     return " || ".join(parts) if parts else "''"
+
+
+# ---------------------------------------------------------------------------
+# HTML / URL twins
+# ---------------------------------------------------------------------------
+
+def unescape(t: str) -> str:
+    from penprint.functions.html import ENTITIES
+    for ent, ch in ENTITIES:
+        t = f"replace({t}, {q(ent)}, {q(ch)})"
+    return t
+
+
+def paragraphs(fragment: str) -> str:
+    from penprint.functions.html import EDGE_WS, P_OPEN, TAG
+    body = f"(regexp_split_to_array({fragment}, {q(P_OPEN)}))[2:]"
+    inner = f"regexp_replace(regexp_replace(p, '(?s)</p>.*', ''), {q(TAG)}, '', 'g')"
+    return f"list_transform({body}, lambda p: {rx_replace(unescape(inner), EDGE_WS)})"
+
+
+def main_fragment(html: str, boilerplate=("ad",)) -> str:
+    from penprint.functions.html import boilerplate_pattern
+    cleaned = rx_replace(html, boilerplate_pattern(boilerplate))
+    return f"regexp_extract({cleaned}, '(?s)<article[^>]*>(.*?)</article>', 1)"
+
+
+def html_main_text(html: str, boilerplate=("ad",)) -> str:
+    paras = paragraphs(main_fragment(html, boilerplate))
+    joined = f"array_to_string(list_filter({paras}, lambda p: p <> ''), chr(10))"
+    return author_text(strip_quotations(joined))
+
+
+def entity_id(url: str, prefix: str) -> str:
+    from penprint.functions.html import UNKNOWN_ID, entity_id_pattern
+    pat = q(entity_id_pattern(prefix))
+    return (f"CASE WHEN NOT regexp_matches({url}, {pat}) THEN '{UNKNOWN_ID}' "
+            f"WHEN regexp_extract({url}, {pat}, 2) <> '' THEN regexp_extract({url}, {pat}, 1) || '_' || "
+            f"regexp_extract({url}, {pat}, 2) ELSE regexp_extract({url}, {pat}, 1) END")
+
+
+def user_from_url(url: str, marker: str) -> str:
+    m = q(marker)
+    tail = f"CASE WHEN strpos({url}, {m}) > 0 THEN substr({url}, strpos({url}, {m}) + {len(marker)}) ELSE {url} END"
+    return f"split_part({tail}, '/', 1)"

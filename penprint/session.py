@@ -53,10 +53,14 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
+    """Reliable checkpoint into the shared checkpoint folder (never a machine-local one).
+
+    Without ``spark.checkpoint.dir`` the session's warehouse folder (shared storage on a
+    cluster) is used."""
     spark = df.sparkSession
     if not checkpoint_dir(spark):
-        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
+        wh = spark.conf.get("spark.sql.warehouse.dir", None)
+        checkpoint_dir(spark, fallback=f"{wh.rstrip('/')}/_checkpoints")
     return df.checkpoint(eager=True)
 
 
