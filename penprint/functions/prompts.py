@@ -115,8 +115,11 @@ def flatten_chat(messages: Column) -> Column:
 
 def count_tokens_py(text: str) -> int:
     """Driver-side token count of a constant (template size); same pattern as B14."""
+    import re
+
     import regex
-    return len(regex.findall(TOKEN_PATTERN, text))
+    py_pattern = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\U%08x" % int(m.group(1), 16), TOKEN_PATTERN)
+    return len(regex.findall(py_pattern, text))
 
 
 def template_tokens(template: list[dict[str, str]]) -> int:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from penprint.functions.charclass import non_ws_class, ws_class
+from penprint.functions.charclass import non_ws_class, ws_body, ws_class
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results.
@@ -25,8 +25,10 @@ URL_PATTERN = f"http{non_ws_class()}+|www\\.{non_ws_class()}+"
 WS_RUN_PATTERN = f"{ws_class()}+"
 
 # Default token counter: runs of letters, runs of at most three digits, runs of other
-# non-space symbols.  It stands in for a BPE vocabulary that cannot be loaded offline.
-TOKEN_PATTERN = "\\p{L}+|\\p{N}{1,3}|[^\\t-\\r \\p{L}\\p{N}]+"
+# non-whitespace symbols.  It stands in for a BPE vocabulary that cannot be loaded
+# offline.  Every Unicode whitespace only separates tokens, so collapsing whitespace
+# (B1) never changes a count.
+TOKEN_PATTERN = f"\\p{{L}}+|\\p{{N}}{{1,3}}|[^{ws_body()}\\p{{L}}\\p{{N}}]+"
 
 # Quotation removal (B3).  Opening quotes ``" „ ‚``, closing quotes ``" “ ‘``.
 QUOTE_ATTRIBUTION_PATTERN = '["„‚][^"„‚“‘]+,["“‘][^\\n]*?\\.'
@@ -79,6 +81,12 @@ def min_tokens(text, n: int = MIN_CORPUS_TOKENS) -> Column:
     return count_tokens(text) > n
 
 
+def min_tokens_after_cleaning(raw, n: int = MIN_CORPUS_TOKENS) -> Column:
+    """C2 on ``clean_text(raw)`` without building the cleaned text: cleaning only masks
+    URLs and rewrites whitespace, and whitespace never changes the token count."""
+    return count_tokens(mask_urls(raw)) > n
+
+
 def language_ok(lang, accepted=None) -> Column:
     """C5 (a): predicted language is in the accept set; ``None`` accepts everything."""
     if not accepted:
