@@ -17,6 +17,7 @@ from penprint.functions import prompts as P
 from penprint.operators.metrics import macro_metrics, rep_mean_std
 from penprint.operators.ranking import DEFAULT_SEED, first_k_in_group, hash_key, rank_in_group
 from penprint.operators.sampling import author_counts
+from penprint.session import reuse
 
 
 def check_prompt_args(n_authors: int, reps: int | None = None) -> None:
@@ -47,6 +48,7 @@ def sample_two_per_author(clean: DataFrame, n_authors: int | None, reps: int = 1
     Raises like the reference when ``n`` exceeds the number of authors or a drawn author
     has fewer than two texts (checked on the per-author table only).
     """
+    clean = reuse(clean)                 # read by the author draw and the text draw
     counts = author_counts(clean)
     if check and n_authors is not None:
         if counts.count() < n_authors:
@@ -103,6 +105,7 @@ def number_rows(df: DataFrame, seed=DEFAULT_SEED, prefix: str = "request_") -> D
 def finetune_requests(prompt_set: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
     """I17 body: examples as JSON on every row of the repetition (E9), shuffle and number
     (G-3, G-5), render the request messages (B17) and the request envelope (A3)."""
+    prompt_set = reuse(prompt_set)       # n x reps rows, read twice
     ej = example_json(prompt_set)
     rows = prompt_set.join(ej, "rep")          # one JSON row per repetition
     rows = number_rows(rows, seed)
@@ -143,6 +146,7 @@ def prompt_inputs(prompt_set: DataFrame, template_name: str, max_tokens: int = P
     """I13 first half: crop texts to the per-text budget (B15, B16), build each
     repetition's example block (E8) and render one prompt per query (B17)."""
     template = P.load_template(template_name)
+    prompt_set = reuse(prompt_set)       # n x reps rows, read twice
     n = authors_per_rep(prompt_set)
     budget = P.token_budget(F.col("n_authors"), P.template_tokens(template), max_tokens, max_new_tokens)
     cropped = (prompt_set.join(n, "rep")
@@ -177,6 +181,7 @@ def sft_rows(prompt_set: DataFrame, responses: DataFrame, seed=DEFAULT_SEED,
              test_size: float = 0.1) -> DataFrame:
     """A9 + B19: SFT rows (query, examples as JSON, response, label) rendered to one chat
     string, then a seeded train/test split with ``ceil(test_size * n)`` test rows."""
+    prompt_set = reuse(prompt_set)
     ej = example_json(prompt_set)
     rows = prompt_set.join(ej, "rep").join(responses.select("rep", "label", "response"), ["rep", "label"])
     parsed = F.from_json(F.col("example_json"), "map<string,string>")

@@ -119,7 +119,8 @@ def out_of_class_pool(corpus: DataFrame, ranked_authors: DataFrame, n: int,
     pool = pool.withColumn("_key", hash_key(seed, F.lit("ooc"), "label", "doc_id"))
     ranked = rank_in_group(pool, ["label"], ["_key", "doc_id"], "_key", "hex")
     return (ranked.filter(F.col("_rank") < F.col("k"))
-            .select("doc_id", F.lit(str(n)).alias("label"), "text"))
+            .select("doc_id", F.lit(str(n)).alias("label"), *[c for c in corpus.columns
+                                                               if c not in ("doc_id", "label")]))
 
 
 def require_others(ranked_authors: DataFrame, n: int) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from penprint.functions import text as T
 from penprint.operators import sampling as S
 from penprint.operators.ranking import DEFAULT_SEED, hash_key
+from penprint.session import reuse
 from penprint.sources.corpus import dedup_corpus, documents_corpus
 
 
@@ -49,17 +50,21 @@ def create_dataset(clean: DataFrame, n: int, limit: int | None = None,
     if limit is not None and limit < 1:
         raise ValueError("Limit must be at least 1")
     split = S.check_split(split)
+    clean = reuse(clean)                 # read by the ranking and by the row branches
     ranked = ranked_authors(clean)
     selected = S.top_authors(ranked, n)
-    rows = S.limit_per_author(S.restrict_to(clean, selected), limit)
-    parts = S.apply_label_map(S.stratified_split(rows, split, seed), ranked)
-    parts = parts.select("doc_id", "label", "text", "split")
+    # Rank and split narrow (doc_id, label) rows; the text joins back by doc_id at the end,
+    # so it never travels through the per-author exchanges.
+    narrow = S.restrict_to(clean.select("doc_id", "label"), selected)
+    narrow = S.limit_per_author(narrow, limit)
+    parts = S.apply_label_map(S.stratified_split(narrow, split, seed), ranked).select("doc_id", "label", "split")
     if add_out_of_class:
         S.require_others(ranked, n)
-        pool = S.out_of_class_pool(clean, ranked, n, seed)
+        pool = S.out_of_class_pool(clean.select("doc_id", "label"), ranked, n, seed)
         pool_split = S.stratified_split(pool, split, seed, group_cols=("label",),
                                         key_cols=(F.lit("pool"), "doc_id"))
-        parts = parts.unionByName(pool_split.select("doc_id", "label", "text", "split"))
+        parts = parts.unionByName(pool_split.select("doc_id", "label", "split"))
+    parts = clean.select("doc_id", "text").join(parts, "doc_id").select("doc_id", "label", "text", "split")
     if add_text_features:
         from penprint.functions.features import style_columns
         parts = parts.select("*", *style_columns("text"))
@@ -90,25 +95,23 @@ def corpus_info(corpus: DataFrame, tops=INFO_TOPS) -> DataFrame:
     """Per ``k``: texts, text length avg/min/max and texts-per-author avg/min/max over
     the top-``k`` authors of the raw deduplicated corpus.
 
-    Authors are ranked once on the per-author table; each document row is expanded only
-    to the ``k`` values whose top list contains its author (at most ``len(tops)`` copies
-    of two narrow columns, never the text itself).
+    One pass: every statistic is derived from a per-author aggregate (count, length sum,
+    min, max), so the documents are read once and the rest runs on one row per author.
     """
-    ranked = S.author_rank(S.author_counts(corpus))
+    per_author = corpus.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("text")).alias("len_sum"),
+        F.min(F.length("text")).alias("len_min"), F.max(F.length("text")).alias("len_max"))
+    ranked = S.author_rank(per_author)
     ks = F.array(*[F.lit(k) for k in tops])
-    per_doc = (corpus.select("label", F.length("text").alias("len"))
-               .join(ranked.select("label", "author_rank"), "label")
-               .withColumn("k", F.explode(F.filter(ks, lambda k: F.col("author_rank") < k))))
-    doc_stats = per_doc.groupBy("k").agg(
-        F.count(F.lit(1)).alias("num_texts"),
-        F.avg("len").alias("avg_text_length"),
-        F.min("len").cast("long").alias("min_text_length"),
-        F.max("len").cast("long").alias("max_text_length"))
-    auth = (ranked.withColumn("k", F.explode(F.filter(ks, lambda k: F.col("author_rank") < k)))
-            .groupBy("k").agg(F.avg("n_texts").alias("avg_texts_per_author"),
-                              F.min("n_texts").alias("min_texts_per_author"),
-                              F.max("n_texts").alias("max_texts_per_author")))
-    return doc_stats.join(auth, "k").withColumn("k", F.col("k").cast("int"))
+    per_k = ranked.withColumn("k", F.explode(F.filter(ks, lambda k: F.col("author_rank") < k)))
+    return per_k.groupBy("k").agg(
+        F.sum("n_texts").alias("num_texts"),
+        (F.sum("len_sum") / F.sum("n_texts")).alias("avg_text_length"),
+        F.min("len_min").cast("long").alias("min_text_length"),
+        F.max("len_max").cast("long").alias("max_text_length"),
+        F.avg("n_texts").alias("avg_texts_per_author"),
+        F.min("n_texts").alias("min_texts_per_author"),
+        F.max("n_texts").alias("max_texts_per_author")).withColumn("k", F.col("k").cast("int"))
 
 
 def author_histogram(corpus: DataFrame, top: int = 100) -> DataFrame:

@@ -64,6 +64,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Persist a frame that several branches of one plan read (computed once; blocks lost
+    with an executor are recomputed from lineage)."""
+    from pyspark import StorageLevel
+    if not df.is_cached:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
 def env_int(name: str, default: int) -> int:
     try:
         return int(os.environ.get(name, default))
