@@ -13,6 +13,13 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Broadcast only on sizes measured at run time (AQE), never on planner estimates;
+    # explicit ``broadcast()`` is kept for tables with a proven bound (top-n lists).
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+    # Text work is CPU-bound per row: let AQE keep many small partitions of compressed
+    # text rather than merging them into a few (no effect once partitions are large).
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
