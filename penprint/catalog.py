@@ -22,5 +22,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[Callable, str | None]]:
     # Import side effects fill QUERIES.
-    from penprint.plans import queries_collect, queries_core, queries_features, queries_ml, queries_prompting, queries_scoring, queries_streaming  # noqa: F401
+    from penprint.plans import queries_collect, queries_core, queries_features, queries_ml, queries_prompting, queries_scoring, queries_sinks, queries_streaming  # noqa: F401
     return QUERIES

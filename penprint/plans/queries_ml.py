@@ -104,3 +104,11 @@ def i11_external_scores(spark, sf):
     from penprint.sources.corpus import read_table
     _, out = ML.embeddings_classifier(read_table(spark, sf, "embeddings"))
     return out.drop("proba")
+
+
+@register("i8_ngram_classifier")
+def i8_ngram_classifier(spark, sf):
+    ds = lang_dataset(spark, sf)
+    ens = ML.Ensemble()
+    ens.fit_base(ds)
+    return ens.ngram_predictions(ds.filter(F.col("split") == "test")).drop("proba")
