@@ -58,8 +58,10 @@ def sample_two_per_author(clean: DataFrame, n_authors: int | None, reps: int = 1
         short = drawn.filter(F.col("n_texts") < 2).select("label").limit(1).collect()
         if short:
             raise ValueError(f"Not enough samples for author {short[0]['label']}.")
-    # ``drawn`` has at most n x reps rows; AQE broadcasts it from its measured size.
-    rows = clean.join(drawn.select("rep", "label", "author_idx"), "label")
+    # ``drawn`` has at most n x reps rows (parameters): a proven bound, so it is broadcast
+    # and the corpus is never shuffled by author before the per-group top-2.
+    bounded = drawn.select("rep", "label", "author_idx")
+    rows = clean.join(F.broadcast(bounded) if n_authors is not None else bounded, "label")
     rows = rows.withColumn("_k", hash_key(seed, F.lit("texts"), "rep", "doc_id"))
     two = first_k_in_group(rows, ["rep", "label"], ["_k", "doc_id"], 2, rank_col="_rn")
     return (two.groupBy("rep", "label", "author_idx")
