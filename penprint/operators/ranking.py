@@ -47,12 +47,22 @@ def rank_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str],
     ``bucket_col`` must be the leading sort column: a hex string (``bucket_kind='hex'``,
     e.g. an md5 key) or a number/timestamp (``'range'``).  ``order_cols`` must be unique
     within a group for the rank to be deterministic.
+
+    The largest group size is read first (one small aggregate); when every group fits
+    one window partition the plain window plan is used, otherwise the bucketed one.
     """
     bucket_col = bucket_col or order_cols[0]
     g = list(group_cols)
     gcols = g if g else ["_all"]
     base = df if g else df.withColumn("_all", F.lit(0))
 
+    largest = base.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
+    if largest is None or largest <= bucket_rows:
+        wg = Window.partitionBy(*gcols)
+        out = (base.withColumn(size_col, F.count(F.lit(1)).over(wg))
+               .withColumn(rank_col, (F.row_number().over(wg.orderBy(*order_cols)) - 1).cast("long")))
+        return out if g else out.drop("_all")
+
     stats = [F.count(F.lit(1)).alias(size_col)]
     if bucket_kind == "range":
         stats += [F.min(bucket_col).alias("_lo"), F.max(bucket_col).alias("_hi")]
