@@ -41,8 +41,19 @@ def count_matching(text, char_class: str) -> Column:
 
 
 def count_chars(text, chars: str) -> Column:
+    """Occurrences of any of the single characters ``chars``.
+
+    Each character is removed with a byte-level ``replace`` and counted from the byte
+    length difference (``octet_length`` is O(1)); ``translate`` would allocate and hash
+    every character of the text."""
     t = as_col(text)
-    return F.length(t) - F.length(F.translate(t, chars, ""))
+    total = None
+    for c in chars:
+        width = len(c.encode("utf-8"))
+        n = F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit("")))
+        n = n if width == 1 else F.floor(n / width).cast("int")
+        total = n if total is None else total + n
+    return total
 
 
 def _ratio(num: Column, den: Column) -> Column:
