@@ -36,10 +36,14 @@ def author_counts(corpus: DataFrame) -> DataFrame:
 def author_rank(counts: DataFrame) -> DataFrame:
     """0-based rank by count desc, label asc (explicit tie-break).
 
-    Runs on the per-author count table, whose size is the number of authors.
+    Runs on the per-author count table.  The global order is computed with the bucketed
+    rank (buckets over count ranges), so even a very large author table is never sorted
+    in one task.
     """
-    w = Window.orderBy(F.desc("n_texts"), F.asc("label"))
-    return counts.withColumn("author_rank", (F.row_number().over(w) - 1).cast("int"))
+    keyed = counts.withColumn("_neg", -F.col("n_texts"))
+    ranked = rank_in_group(keyed, [], ["_neg", "label"], "_neg", "range", rank_col="_r")
+    return (ranked.withColumn("author_rank", F.col("_r").cast("int"))
+            .drop("_neg", "_r", "_group_n"))
 
 
 def top_authors(ranked: DataFrame, n: int) -> DataFrame:

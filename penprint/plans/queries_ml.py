@@ -86,7 +86,8 @@ def i9_stacked_ensemble(spark, sf):
 @register("i10_ensemble_score")
 def i10_ensemble_score(spark, sf):
     ds, scores, ens = _fit_all(spark, sf)
-    path = f"{checkpoint_dir(spark) or '/tmp'}/models/{uuid.uuid4().hex}"
+    base = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/models/{uuid.uuid4().hex}"
     ens.save(spark, path)
     loaded = ML.Ensemble.load(spark, path)
     return loaded.score(ds.filter(F.col("split") == "test"), scores).drop("proba")

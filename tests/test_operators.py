@@ -136,3 +136,9 @@ def test_pending_items(spark):
     frontier = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     done = spark.createDataFrame([(2,)], "id long")
     assert sorted(r.id for r in C.pending_items(frontier, done, "id").collect()) == [1, 3]
+
+
+def test_author_rank_ties_by_label(spark):
+    counts = spark.createDataFrame([("b", 5), ("a", 5), ("c", 7), ("d", 1)], "label string, n_texts long")
+    got = {r["label"]: r["author_rank"] for r in S.author_rank(counts).collect()}
+    assert got == {"c": 0, "a": 1, "b": 2, "d": 3}
