@@ -94,6 +94,23 @@ def paged_quota(items: DataFrame, user: str, order_cols: list[str], accepted: Co
             .filter(F.col("_acc") == 1).drop("_acc", "_r", "_group_n"))
 
 
+def page_quota(items: DataFrame, user: str, page_order: list[str], accepted: Column,
+               limit: int | None, default_limit: int | None = MAX_REVIEWS_PER_USER) -> DataFrame:
+    """F7 over explicit listing pages: the accepted items of every page visited while
+    the accepted items on earlier pages (in ``page_order``) number fewer than ``limit``."""
+    if limit == 0 and default_limit is not None:
+        limit = default_limit
+    x = items.withColumn("_acc", accepted.cast("int"))
+    if limit is None:
+        return x.filter(F.col("_acc") == 1).drop("_acc")
+    pages = x.groupBy(user, *page_order).agg(F.sum("_acc").alias("_pa"))
+    pages = rank_in_group(pages, [user], page_order, page_order[0], "range", rank_col="_pr")
+    pages = _blocked_prefix(pages, user, "_pr", "_pa", "_before")
+    visited = pages.filter(F.col("_before") < limit).select(user, *page_order)
+    return (x.join(visited, [user, *page_order], "left_semi")
+            .filter(F.col("_acc") == 1).drop("_acc"))
+
+
 def items_per_author(items: DataFrame, author: str) -> DataFrame:
     """Accepted items per author."""
     return items.groupBy(author).agg(F.count(F.lit(1)).alias("n_items"))

@@ -239,6 +239,43 @@ def i18_collect_news(spark, sf):
     return x.filter(F.col("text").isNotNull())
 
 
+# -- I18 reviews: item rows of every page under a per-author quota over listing pages --
+REVIEW_QUOTA = 8
+
+
+def _review_rows(spark, sf):
+    p = load_pages(spark, sf)
+    x = p.select("page_id", "url", H.current_page("url").alias("page_no"), H.page_lang("html").alias("lang"),
+                 F.posexplode(H.paragraphs(H.main_container(H.remove_blocks("html", ("ad",))))).alias("pos", "para"))
+    return x.select("page_id", "page_no", F.col("pos").cast("int").alias("pos"),
+                    H.user_from_url("url", HOST_MARKER).alias("author"),
+                    H.entity_id("url", PAGE_ID_PREFIX).alias("item_id"),
+                    H.review_text("para", F.col("lang"), REVIEW_LANGS).alias("text"))
+
+
+@register("i18_collect_reviews", f"""
+WITH x AS (SELECT page_id, url, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang,
+                  CASE WHEN regexp_extract(url, '[?&]page=([0-9]+)', 1) = '' THEN 1
+                       ELSE CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS INTEGER) END AS page_no,
+                  {O.paragraphs(O.main_fragment('html'))} AS paras FROM pages),
+e AS (SELECT page_id, page_no, url, lang, unnest(paras) AS para FROM x),
+r AS (SELECT page_id, page_no, {O.user_from_url('url', HOST_MARKER)} AS author,
+             CASE WHEN lang IN ({', '.join(O.q(x) for x in REVIEW_LANGS)}) THEN {O.author_text('para')} END AS text
+      FROM e),
+pg AS (SELECT author, page_no, page_id, sum(CASE WHEN text IS NOT NULL THEN 1 ELSE 0 END) AS pa
+       FROM r GROUP BY author, page_no, page_id),
+pb AS (SELECT author, page_no, page_id, coalesce(sum(pa) OVER (PARTITION BY author ORDER BY page_no, page_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pg)
+SELECT author, count(*) AS n_reviews, count(DISTINCT r.page_id) AS n_pages FROM r
+JOIN pb USING (author, page_no, page_id)
+WHERE pb.before < {REVIEW_QUOTA} AND r.text IS NOT NULL GROUP BY author""")
+def i18_collect_reviews(spark, sf):
+    rows = _review_rows(spark, sf)
+    kept = C.page_quota(rows, "author", ["page_no", "page_id"], F.col("text").isNotNull(), REVIEW_QUOTA)
+    return kept.groupBy("author").agg(F.count(F.lit(1)).alias("n_reviews"),
+                                      F.countDistinct("page_id").alias("n_pages"))
+
+
 # -- A11 / F6 / F7 / E12 over events ------------------------------------------------------
 _LISTINGS_SQL = " UNION ALL ".join(
     f"SELECT event_id, ts, user_id AS item_id, event_type, {i} AS priority FROM events WHERE event_type = '{n}'"
