@@ -21,7 +21,7 @@ QUOTA = 25                         # per-user item limit passed to the paged cra
 @register("a10_load_pages", "SELECT page_id, url, length(html) AS html_chars FROM pages")
 def a10_load_pages(spark, sf):
     p = load_pages(spark, sf)
-    return p.select("page_id", "url", F.length("html").alias("html_chars"))
+    return p.select("page_id", "url", F.length("html").cast("long").alias("html_chars"))
 
 
 @register("b7_html_main_text", f"SELECT page_id, {O.html_main_text('html')} AS text FROM pages")

@@ -153,15 +153,18 @@ WITH {_RAW},
 d AS (SELECT ks.k, length(dedup.text) AS len FROM dedup JOIN ranked USING (label)
       JOIN ks ON ranked.author_rank < ks.k),
 a AS (SELECT ks.k, n_texts FROM ranked JOIN ks ON ranked.author_rank < ks.k)
-SELECT CAST(d.k AS INTEGER) AS k, num_texts, avg_text_length, min_text_length, max_text_length,
-       avg_texts_per_author, min_texts_per_author, max_texts_per_author
+SELECT CAST(d.k AS INTEGER) AS k, num_texts, round(avg_text_length, 9) AS avg_text_length, min_text_length,
+       max_text_length, round(avg_texts_per_author, 9) AS avg_texts_per_author, min_texts_per_author,
+       max_texts_per_author
 FROM (SELECT k, count(*) AS num_texts, avg(len) AS avg_text_length,
              CAST(min(len) AS BIGINT) AS min_text_length, CAST(max(len) AS BIGINT) AS max_text_length
       FROM d GROUP BY k) d
 JOIN (SELECT k, avg(n_texts) AS avg_texts_per_author, min(n_texts) AS min_texts_per_author,
              max(n_texts) AS max_texts_per_author FROM a GROUP BY k) a ON d.k = a.k""")
 def e2_corpus_info(spark, sf):
-    return D.corpus_info(dedup_corpus(documents_corpus(spark, sf)))
+    info = D.corpus_info(dedup_corpus(documents_corpus(spark, sf)))
+    return (info.withColumn("avg_text_length", F.round("avg_text_length", 9))
+            .withColumn("avg_texts_per_author", F.round("avg_texts_per_author", 9)))
 
 
 @register("e3_author_histogram", f"""

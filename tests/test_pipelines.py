@@ -119,3 +119,21 @@ def test_streaming_two_runs_equal_one_batch(spark):
     batch = {tuple(r) for r in ST.news_rows(pages).collect()}
     assert n1 < len(streamed)
     assert streamed == batch
+
+
+def test_appended_csv_repeated_header_rows_dropped(spark):
+    d = tempfile.mkdtemp(prefix="penprint-csv-")
+    with open(f"{d}/corpus.csv", "w", encoding="utf-8") as f:
+        f.write('author,post_id,text\nann,1,"first text, quoted"\nbob,2,second\n')
+        f.write('author,post_id,text\nann,3,"multi\nline"\nann,1,"first text, quoted"\n')   # resumed run
+    from penprint.sources.corpus import load_corpus
+    rows = sorted((r["label"], r["text"]) for r in load_corpus(spark, f"{d}/corpus.csv").collect())
+    assert rows == [("ann", "first text, quoted"), ("ann", "multi\nline"), ("bob", "second")]
+
+
+def test_corpus_needs_text_and_label(spark):
+    from penprint.sources.corpus import as_corpus
+    with pytest.raises(ValueError):
+        as_corpus(spark.createDataFrame([("x",)], "body string"))
+    with pytest.raises(ValueError):
+        as_corpus(spark.createDataFrame([("x",)], "text string"))
