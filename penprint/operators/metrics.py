@@ -65,10 +65,16 @@ def argmax_class(scores) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("long")
 
 
-def label_dictionary(df: DataFrame, label: str = "label") -> DataFrame:
+def label_dictionary(df: DataFrame, label: str = "label", bucket_rows: int | None = None) -> DataFrame:
     """Sorted distinct labels -> dense 0-based ids (both directions in one table).
 
-    Runs on the distinct-label table (one row per class)."""
-    w = Window.orderBy(F.col(label))
-    return (df.select(F.col(label).cast("string").alias("label")).distinct()
-            .withColumn("label_id", (F.row_number().over(w) - 1).cast("int")))
+    Strings sort by their UTF-8 bytes, so the first seven bytes read as a number are
+    monotone in label order; the exact bucketed rank uses them as its bucket key and
+    never sorts a large label table in one task."""
+    from penprint.operators.ranking import BUCKET_ROWS, rank_in_group
+    labels = df.select(F.col(label).cast("string").alias("label")).distinct()
+    prefix = F.rpad(F.substring(F.hex(F.col("label")), 1, 14), 14, "0")
+    keyed = labels.withColumn("_lk", F.conv(prefix, 16, 10).cast("long"))
+    ranked = rank_in_group(keyed, [], ["_lk", "label"], "_lk", "range", rank_col="_r",
+                           bucket_rows=bucket_rows or BUCKET_ROWS)
+    return ranked.select("label", F.col("_r").cast("int").alias("label_id"))

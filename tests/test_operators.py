@@ -142,3 +142,10 @@ def test_author_rank_ties_by_label(spark):
     counts = spark.createDataFrame([("b", 5), ("a", 5), ("c", 7), ("d", 1)], "label string, n_texts long")
     got = {r["label"]: r["author_rank"] for r in S.author_rank(counts).collect()}
     assert got == {"c": 0, "a": 1, "b": 2, "d": 3}
+
+
+def test_label_dictionary_orders_bytes_with_many_buckets(spark):
+    labels = ["b", "a", "ab", "abcdefghij", "abcdefgh", "é", "Z", "a"]
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    got = [r["label"] for r in M.label_dictionary(df, bucket_rows=2).orderBy("label_id").collect()]
+    assert got == sorted(set(labels), key=lambda s: s.encode("utf-8"))
