@@ -9,7 +9,7 @@ on the tiny table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("accuracy", "f1", "precision", "recall")
@@ -71,10 +71,9 @@ def label_dictionary(df: DataFrame, label: str = "label", bucket_rows: int | Non
     Strings sort by their UTF-8 bytes, so the first seven bytes read as a number are
     monotone in label order; the exact bucketed rank uses them as its bucket key and
     never sorts a large label table in one task."""
-    from penprint.operators.ranking import BUCKET_ROWS, rank_in_group
+    from penprint.operators.ranking import BUCKET_ROWS, rank_in_group, string_order_key
     labels = df.select(F.col(label).cast("string").alias("label")).distinct()
-    prefix = F.rpad(F.substring(F.hex(F.col("label")), 1, 14), 14, "0")
-    keyed = labels.withColumn("_lk", F.conv(prefix, 16, 10).cast("long"))
+    keyed = labels.withColumn("_lk", string_order_key("label"))
     ranked = rank_in_group(keyed, [], ["_lk", "label"], "_lk", "range", rank_col="_r",
                            bucket_rows=bucket_rows or BUCKET_ROWS)
     return ranked.select("label", F.col("_r").cast("int").alias("label_id"))

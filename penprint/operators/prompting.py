@@ -10,12 +10,13 @@ cross the shuffle however large an author is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penprint.functions import prompts as P
 from penprint.operators.metrics import macro_metrics, rep_mean_std
-from penprint.operators.ranking import DEFAULT_SEED, first_k_in_group, hash_key, rank_in_group
+from penprint.operators.ranking import (DEFAULT_SEED, first_k_in_group, hash_key, rank_in_group,
+                                       string_order_key)
 from penprint.operators.sampling import author_counts
 from penprint.session import reuse
 
@@ -33,8 +34,11 @@ def draw_authors(counts: DataFrame, n_authors: int | None, reps: int, seed=DEFAU
     from all authors (``None`` = all of them, in label order, as F5)."""
     per_rep = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     if n_authors is None:
-        w = Window.partitionBy("rep").orderBy("label")
-        return per_rep.withColumn("author_idx", (F.row_number().over(w) - 1).cast("int"))
+        # every author, in label order: bucketed exact rank on a byte-prefix key
+        keyed = per_rep.withColumn("_lk", string_order_key("label"))
+        ranked = rank_in_group(keyed, ["rep"], ["_lk", "label"], "_lk", "range", rank_col="_r")
+        return (ranked.withColumn("author_idx", F.col("_r").cast("int"))
+                .drop("_lk", "_r", "_group_n"))
     per_rep = per_rep.withColumn("_k", hash_key(seed, F.lit("authors"), "rep", "label"))
     drawn = first_k_in_group(per_rep, ["rep"], ["_k", "label"], n_authors, rank_col="_rn")
     return drawn.withColumn("author_idx", (F.col("_rn") - 1).cast("int")).drop("_k", "_rn")

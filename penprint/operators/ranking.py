@@ -26,6 +26,12 @@ def hash_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def string_order_key(col) -> Column:
+    """A number monotone in Spark's (UTF-8 byte) string order: the first seven bytes."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.conv(F.rpad(F.substring(F.hex(c), 1, 14), 14, "0"), 16, 10).cast("long")
+
+
 def _hex_bucket(key: Column, nb: Column) -> Column:
     prefix = F.conv(F.substring(key, 1, _HEX_BITS // 4), 16, 10).cast("long")
     return F.shiftright(prefix * nb, _HEX_BITS)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penprint.operators.ranking import DEFAULT_SEED, first_k_in_group, hash_key, rank_in_group
