@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from penprint.catalog import register
+from penprint.llm.byte_cnn import fit, held_out, with_language
 from penprint.llm.common import table
+from penprint.llm.piece_offsets import piece_digests
+from penprint.llm.simhash import simhash_rows
 from penprint.llm.token_planes import token_files
 
 END_ID = 2
@@ -19,3 +22,23 @@ def tokenizer_file(name: str) -> str:
 def op1(spark, sf_dir):
     """Documents as bit-plane token files; what the files hold per document."""
     return token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), END_ID)
+
+
+@register("op2_piece_offsets")
+def op2(spark, sf_dir):
+    """SentencePiece ids and decoded text of every document, digested."""
+    return piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@register("op7_simhash")
+def op7(spark, sf_dir):
+    """SimHash components: three-word shingles, three bits."""
+    return simhash_rows(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
+@register("op8_byte_cnn")
+def op8(spark, sf_dir):
+    """Language of every document by the byte network, learnt on the rows not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = with_language(docs, fit(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
