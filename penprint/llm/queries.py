@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from penprint.catalog import register
 from penprint.llm.byte_cnn import fit, held_out, with_language
 from penprint.llm.common import table
+from penprint.llm.decontaminate import contaminations
+from penprint.llm.permutation_index import search
 from penprint.llm.piece_offsets import piece_digests
 from penprint.llm.simhash import simhash_rows
 from penprint.llm.token_planes import token_files
@@ -42,3 +46,15 @@ def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = with_language(docs, fit(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register("op3_decontaminate")
+def op3(spark, sf_dir):
+    """Documents that hold a passage of an item of ``benchmark``."""
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op10_permutation_index")
+def op10(spark, sf_dir):
+    """Five nearest rows of ``embeddings`` for every fiftieth."""
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
