@@ -181,9 +181,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS) -> ByteCnn | None:
     """Train on a bounded sample of labelled rows that are not held out; None without any."""
     labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & _has_letter(text_col))
-    pick = (labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-            .withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")))
-            .where(F.col("_n") <= fit_docs).select("_id").distinct())
+    pick = (labelled.select(F.col(id_col).alias("__fit_id"), F.col(lang_col).alias("__fit_lang"))
+            .withColumn("__fit_n", F.row_number().over(Window.partitionBy("__fit_lang").orderBy(F.xxhash64("__fit_id"), "__fit_id")))
+            .where(F.col("__fit_n") <= fit_docs).select("__fit_id").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                                               pa.array(cuts, pa.binary())], names=["id", "lang", "cut"])
 
     # At most fit_docs rows a language are broadcast.
-    rows = (labelled.join(F.broadcast(pick), F.col(id_col) == F.col("_id"))
+    rows = (labelled.join(F.broadcast(pick), F.col(id_col) == F.col("__fit_id"))
             .select(F.col(id_col).cast("long"), F.col(lang_col), _lowered(text_col)))
     got = sorted(map_arrow(rows, run, "id long, lang string, cut binary").collect())
     if not got:
@@ -223,8 +223,8 @@ def with_language(docs: DataFrame, model: ByteCnn | None, text_col: str = "text"
         return pa.StructArray.from_arrays([pa.array(names[best], pa.string()),
                                            pa.array(np.clip(p[np.arange(len(p)), best], 0, 1))], names=["lang", "score"])
 
-    found = docs.withColumn("_found_language", predict(_lowered(text_col)))
+    found = docs.withColumn("__found_language", predict(_lowered(text_col)))
     letters = _has_letter(text_col)
-    return (found.withColumn(lang_col, F.when(letters, F.col("_found_language.lang")).otherwise(UNDETERMINED))
-            .withColumn(score_col, F.when(letters, F.col("_found_language.score")).otherwise(0.0))
-            .drop("_found_language"))
+    return (found.withColumn(lang_col, F.when(letters, F.col("__found_language.lang")).otherwise(UNDETERMINED))
+            .withColumn(score_col, F.when(letters, F.col("__found_language.score")).otherwise(0.0))
+            .drop("__found_language"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from penprint.catalog import register
+from penprint.llm import line_dedup
 from penprint.llm.byte_cnn import fit, held_out, with_language
 from penprint.llm.common import table
 from penprint.llm.decontaminate import contaminations
@@ -58,3 +59,9 @@ def op3(spark, sf_dir):
 def op10(spark, sf_dir):
     """Five nearest rows of ``embeddings`` for every fiftieth."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@register("op9_line_dedup", line_dedup.ORACLE)
+def op9(spark, sf_dir):
+    """Documents without lines that occur earlier, equal or within an edit."""
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))

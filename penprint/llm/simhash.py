@@ -279,11 +279,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest text hash; of rows equal in both, one."""
     found = simhash_components(docs, id_col, text_col, shingle, radius)
     keep = (found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-            .select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_hash").alias("_keep_hash")).distinct())
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col)))
-    kept = hashed.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id"))
-                       & (F.col("_text_hash") == F.col("_keep_hash")), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+            .select(F.col("k.doc_id").alias("__keep_id"), F.col("k.text_hash").alias("__keep_hash")).distinct())
+    hashed = docs.withColumn("__text_hash", F.xxhash64(F.col(text_col)))
+    kept = hashed.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id"))
+                       & (F.col("__text_hash") == F.col("__keep_hash")), "left_semi")
+    return kept.dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
 
 
 def simhash_rows(docs: DataFrame, **options) -> DataFrame:
