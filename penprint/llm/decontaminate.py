@@ -255,6 +255,15 @@ def _built(items: tuple, radius: int, similarity: float) -> list[ItemIndex]:
     return _BUILT[key]
 
 
+def _matcher(items: tuple, radius: int, similarity: float):
+    @F.arrow_udf(_MATCHES)
+    def matched(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("n_words", pa.int32()),
+                                   ("similarity", pa.float64())]))
+        return pa.array(find_matches(_built(items, radius, similarity), texts.to_pylist()), kind)
+    return matched
+
+
 def matches_column(benchmark: DataFrame, text: Column, item_col: str = "item_id", item_text_col: str = "text",
                    radius: int = RADIUS, similarity: float = SIMILARITY, item_block: int = ITEM_BLOCK) -> Column:
     """The matched items of a text as an array of structs."""
@@ -267,13 +276,7 @@ def matches_column(benchmark: DataFrame, text: Column, item_col: str = "item_id"
         block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         items = tuple(sorted({(r.i, r.t) for r in block.collect()}, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")))
 
-        @F.arrow_udf(_MATCHES)
-        def matched(texts: pa.Array, items: tuple = items) -> pa.Array:
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("n_words", pa.int32()),
-                                       ("similarity", pa.float64())]))
-            return pa.array(find_matches(_built(items, radius, similarity), texts.to_pylist()), kind)
-
-        parts.append(matched(F.coalesce(text, F.lit(""))))
+        parts.append(_matcher(items, radius, similarity)(F.coalesce(text, F.lit(""))))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
