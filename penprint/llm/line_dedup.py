@@ -11,12 +11,13 @@ character.
 
 Only DataFrame functions run here: no Python on the executors.
 
-Scale: line text crosses one shuffle, after map-side aggregation, so a line repeated
-everywhere is one row a task.  Keys travel as hashes with a 26-bit letter-parity signature:
-an edit flips at most two bits, so the join drops pairs more than ``2 * edits`` bits apart
-before it makes a row, and a group of lines that share a segment does not yield its pairs.
-Verified pairs only fetch text (co-partitioned with the aggregate).  Each document's dropped
-line numbers join back to it by a hash join built on that narrower side.
+Scale: line text is not shuffled.  First occurrences are aggregates over two 64-bit hashes
+with map-side combine, so a line repeated everywhere is one row a task.  Keys travel as
+hashes with a letter-parity signature: an edit flips at most two bits, so the join drops
+pairs more than ``2 * edits`` bits apart before it makes a row, and a group of lines that
+share a segment does not yield its pairs.  Text is fetched for candidate lines only, by a
+join that broadcasts their hashes up to ``BROADCAST_ROWS`` and shuffles beyond.  Each
+document's dropped line numbers join back to it by a hash join built on that narrower side.
 
 Defined cases: a null text stays null and has no lines; blank lines always stay and are not
 counted; lines shorter than ``least`` characters are compared exactly only; rows equal in
@@ -27,14 +28,16 @@ like the added ones are replaced.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from penprint.llm.common import written
+
 EDITS = 1
 LEAST = 24
 LINE_BREAK = "\n"
+LETTERS = "etaoinsrhldu"   # any ASCII letters are right; frequent ones tell lines apart
+BROADCAST_ROWS = 200_000   # of at most 40 bytes
 
 
 def segment(length: Column, k: int, i: int) -> tuple[Column, Column]:
@@ -71,10 +74,10 @@ def probe_keys(line: Column, length: Column, edits: int, least: int) -> Column:
 
 
 def letter_parity(line: Column) -> Column:
-    """26 bits: the parity of each ASCII lower-case letter's count."""
+    """The parity of each count of ``LETTERS``."""
     bits = F.lit(0)
-    for k, c in enumerate(string.ascii_lowercase):
-        count = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+    for k, c in enumerate(LETTERS):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
         bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(1)), k))
     return bits
 
@@ -142,28 +145,34 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """Every distinct line with its first occurrence."""
-    return lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "pos")).alias("first"),
-                                         F.count(F.lit(1)).alias("copies"), F.min("line").alias("line"))
+def candidate_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """(i1, p1): first hashes of line pairs that share a segment key and nearly their letters."""
+    line, length = F.col("line"), F.length("line")
+    rows = lines.select("h1", "line", length.alias("length")).where(F.col("length") >= least)
+    length = F.col("length")
+    sig = letter_parity(line).alias("sig")
+    index = rows.select("h1", sig, F.explode(index_keys(line, length, edits)).alias("key"))
+    probe = rows.select("h1", sig, F.explode(probe_keys(line, length, edits, least)).alias("p"))
+    # Aggregates, so that copies of a line are one row a task.
+    index = index.groupBy("key", "h1", "sig").agg(F.lit(1)).select("key", F.col("h1").alias("i1"), F.col("sig").alias("isig"))
+    probe = probe.select("p.key", "p.shorter", "h1", "sig").groupBy("key", "shorter", "h1", "sig").agg(F.lit(1)) \
+        .select("key", "shorter", F.col("h1").alias("p1"), F.col("sig").alias("psig"))
+    close = F.bit_count(F.col("isig").bitwiseXOR(F.col("psig"))) <= 2 * edits
+    ordered = F.when(F.col("shorter") == 0, F.col("i1") < F.col("p1")).otherwise(F.col("i1") != F.col("p1"))
+    return index.join(probe, (index.key == probe.key) & close & ordered).select("i1", "p1").distinct()
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast only if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def near_pairs(distinct: DataFrame, edits: int, least: int) -> DataFrame:
+def near_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(h1, h2, o1, o2): pairs of different lines within ``edits`` edits."""
-    line, length = F.col("line"), F.col("length")
-    rows = (distinct.select("h1", "line", F.length("line").alias("length"), letter_parity(line).alias("sig"))
-            .where(length >= least))
-    index = rows.select(F.explode(index_keys(line, length, edits)).alias("key"), F.col("h1").alias("i1"),
-                        F.col("sig").alias("isig"))
-    probe = rows.select(F.explode(probe_keys(line, length, edits, least)).alias("p"), F.col("h1").alias("p1"),
-                        F.col("sig").alias("psig")).select("p.key", "p.shorter", "p1", "psig")
-    close = F.bit_count(F.col("isig").bitwiseXOR(F.col("psig"))) <= 2 * edits
-    ordered = F.when(F.col("shorter") == 0, F.col("i1") < F.col("p1")).otherwise(F.col("i1") != F.col("p1"))
-    pairs = index.join(probe, (index.key == probe.key) & close & ordered).select("i1", "p1").distinct()
-    text = distinct.select("h1", "h2", "line")
-    a = text.toDF("i1", "i2", "a")
-    b = text.toDF("p1", "p2", "b")
-    found = pairs.join(a, "i1").join(b, "p1")
+    pairs = written(candidate_pairs(lines, edits, least), "line-candidates")
+    wanted = written(pairs.select(F.explode(F.array("i1", "p1")).alias("h1")).distinct(), "line-candidates")
+    text = written(lines.select("h1", "h2", "line").join(sized(wanted), "h1").distinct(), "line-texts")
+    found = pairs.join(text.toDF("i1", "i2", "a"), "i1").join(text.toDF("p1", "p2", "b"), "p1")
     return (found.where(F.abs(F.length("a") - F.length("b")) <= edits)
             .where(banded_distance(F.col("a"), F.col("b"), edits) <= edits)
             .select(F.col("i1").alias("h1"), F.col("i2").alias("h2"), F.col("p1").alias("o1"), F.col("p2").alias("o2")))
@@ -173,18 +182,21 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(d, th, pos, near): line occurrences to drop; near tells a near copy from an exact one."""
     lines = _lines(docs, id_col, text_col)
-    distinct = distinct_lines(lines)
-    pairs = near_pairs(distinct, edits, least)
-    firsts = distinct.select("h1", "h2", "first")
-    ends = (pairs.join(firsts, ["h1", "h2"])
-            .join(firsts.toDF("o1", "o2", "other"), ["o1", "o2"]))
+    places = lines.select("d", "th", "pos", "h1", "h2")
+    pairs = written(near_pairs(lines, edits, least), "line-pairs")
+    paired = written(pairs.select("h1", "h2").union(pairs.select("o1", "o2")).distinct(), "line-pairs")
+    firsts = written(places.groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "pos")).alias("first"),
+                                                    F.count(F.lit(1)).alias("copies"))
+                     .join(sized(paired).withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+                     .where("copies > 1 or near"), "line-firsts")
+    ends = (pairs.join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
+            .join(firsts.select("h1", "h2", "first").toDF("o1", "o2", "other"), ["o1", "o2"]))
     later = (ends.select(F.when(F.col("first") < F.col("other"), F.struct(F.col("o1").alias("h1"), F.col("o2").alias("h2")))
                          .otherwise(F.struct("h1", "h2")).alias("x")).select("x.*").distinct().withColumn("near", F.lit(True)))
-    marked = (distinct.select("h1", "h2", "first", "copies").join(later, ["h1", "h2"], "left")
+    marked = (firsts.drop("near").join(later, ["h1", "h2"], "left")
               .withColumn("near", F.coalesce("near", F.lit(False)))
               .where((F.col("copies") > 1) | F.col("near")).drop("copies"))
-    places = lines.select("d", "th", "pos", "h1", "h2")
-    return (places.join(marked, ["h1", "h2"])
+    return (places.join(sized(written(marked, "line-marks")), ["h1", "h2"])
             .where(F.col("near") | ~F.struct("d", "th", "pos").eqNullSafe(F.col("first")))
             .select("d", "th", "pos", "near"))
 
