@@ -34,8 +34,10 @@ from penprint.llm.common import map_arrow, utf8, written
 GOOD, BAD, ABSTAIN = 1, 0, 2
 DIMS = 1 << 15
 FIT_DOCS = 4000
+BETTER_THAN_CHANCE = 0.55  # least accuracy a labeller is held to have on either class
 _SYMBOL = re.compile(r"[#$%&*|@^~<>{}\\]")
-_SENTENCE_END = (".", "!", "?", '"', "»", "…", ":")
+_SENTENCE_END = frozenset(".!?…")
+_PUNCTUATION = frozenset(".,;:!?…\"'»«”’)]-")
 
 
 # ---- labellers -------------------------------------------------------------------------
@@ -47,23 +49,29 @@ def _by(value: float, bad_below: float, good_from: float, good_to: float, bad_ab
 
 
 def votes(text: str) -> list[int]:
-    """One vote a labeller: length, word length, symbols, capitals, repetition, short words,
-    repeated lines, sentence ends."""
+    """One vote a labeller: symbol share, symbol-ended words, lone symbols, letter share,
+    repeated neighbours, distinct words, sentence ends, capitals, repeated lines, length."""
     words = text.split()
-    n, chars = len(words), max(1, len(text))
+    n = len(words)
     if not words:
-        return [BAD] * 3 + [ABSTAIN] * 5
+        return [ABSTAIN] * 9 + [BAD]
+    solid = sum(map(len, words))
     lines = [x for x in text.split("\n") if x.strip()]
-    mean = sum(map(len, words)) / n
+    lone = sum(1 for w in words if len(w) <= 3 and not any(map(str.isalnum, w)))
+    marked = sum(1 for w in words if not w[-1].isalnum() and w[-1] not in _PUNCTUATION and len(w) > 1)
+    again = sum(map(str.__eq__, words, words[1:]))
+    ends = sum(1 for w in words if w[-1] in _SENTENCE_END)
     return [
-        _by(n, 8, 40, 100_000, float("inf")),
-        _by(mean, 2.5, 3.5, 8.5, 12),
-        _by(len(_SYMBOL.findall(text)) / chars, 0, 0, 0.003, 0.02),
-        _by(sum(map(str.isupper, text)) / chars, 0, 0, 0.12, 0.4),
-        ABSTAIN if n < 30 else _by(len(set(words)) / n * min(1, n / 400) ** 0.35, 0.08, 0.2, 1, 1),
-        ABSTAIN if n < 20 else _by(sum(1 for w in words if len(w) <= 3) / n, 0.04, 0.12, 0.7, 0.9),
+        _by(len(_SYMBOL.findall(text)) / solid, 0, 0, 0.003, 0.02),
+        _by(marked / n, 0, 0, 0.03, 0.1),
+        _by(lone / n, 0, 0, 0.01, 0.05),
+        _by(sum(map(str.isalpha, text)) / solid, 0.8, 0.92, 1, 1),
+        ABSTAIN if n < 10 else _by(again / n, 0, 0, 0.02, 0.08),
+        ABSTAIN if n < 30 else _by(len(set(words)) / n * (n / 100) ** 0.3, 0.25, 0.45, 9, 99),
+        ABSTAIN if n < 20 else _by(ends / n, 0.008, 0.02, 0.4, 0.6),
+        _by(sum(map(str.isupper, text)) / solid, 0, 0, 0.12, 0.4),
         ABSTAIN if len(lines) < 3 else _by(1 - len(set(lines)) / len(lines), 0, 0, 0.15, 0.4),
-        _by(sum(1 for x in lines if x.rstrip().endswith(_SENTENCE_END)) / len(lines), 0.15, 0.6, 1, 1),
+        BAD if n < 5 else ABSTAIN if n < 20 else GOOD,
     ]
 
 
@@ -97,7 +105,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         for y, w, agrees in ((1, w1, good), (0, w0, ~good)):
             seen = (w[:, None] * spoke).sum(axis=0)
             right = (w[:, None] * (spoke & agrees)).sum(axis=0)
-            acc[:, y] = np.clip((right + 3) / (seen + 4), 0.02, 0.98)         # a weak belief in 3/4
+            acc[:, y] = np.clip((right + 3) / (seen + 4), BETTER_THAN_CHANCE, 0.98)   # a weak belief in 3/4
         prior = float(np.clip(w1.sum() / max(counts.sum(), 1), 0.05, 0.95))
         if np.abs(new - post).max() < 1e-9:
             post = new
