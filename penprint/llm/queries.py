@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from penprint.catalog import register
-from penprint.llm import line_dedup
+from penprint.llm import extendible_shards, line_dedup
 from penprint.llm.byte_cnn import fit, held_out, with_language
 from penprint.llm.common import table
 from penprint.llm.decontaminate import contaminations
@@ -13,6 +13,7 @@ from penprint.llm.permutation_index import search
 from penprint.llm.piece_offsets import piece_digests
 from penprint.llm.simhash import simhash_rows
 from penprint.llm.token_planes import token_files
+from penprint.llm.weak_quality import quality_scores
 
 END_ID = 2
 
@@ -65,3 +66,15 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     """Documents without lines that occur earlier, equal or within an edit."""
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+@register("op4_weak_quality")
+def op4(spark, sf_dir):
+    """Weak labels and linear quality score of every document."""
+    return quality_scores(table(spark, sf_dir, "documents"))
+
+
+@register("op5_extendible_shards", extendible_shards.ORACLE)
+def op5(spark, sf_dir):
+    """Extendible-hashing shard of every document."""
+    return extendible_shards.shard_rows(table(spark, sf_dir, "documents"))
