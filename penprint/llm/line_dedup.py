@@ -13,8 +13,8 @@ Only DataFrame functions run here: no Python on the executors.
 
 Scale: line text is not shuffled.  First occurrences are aggregates over two 64-bit hashes
 with map-side combine, so a line repeated everywhere is one row a task.  Keys travel as
-hashes with a letter-parity signature: an edit flips at most two bits, so the join drops
-pairs more than ``2 * edits`` bits apart before it makes a row, and a group of lines that
+hashes with a signature of letter counts: an edit changes them by two at most, so the join
+drops pairs more than ``2 * edits`` apart before it makes a row, and a group of lines that
 share a segment does not yield its pairs.  Text is fetched for candidate lines only, by a
 join that broadcasts their hashes up to ``BROADCAST_ROWS`` and shuffles beyond.  Each
 document's dropped line numbers join back to it by a hash join built on that narrower side.
@@ -36,7 +36,7 @@ from penprint.llm.common import written
 EDITS = 1
 LEAST = 24
 LINE_BREAK = "\n"
-LETTERS = "etaoinsrhldu"   # any ASCII letters are right; frequent ones tell lines apart
+LETTERS = "etanio"         # any ASCII letters are right; frequent ones tell lines apart
 BROADCAST_ROWS = 200_000   # of at most 40 bytes
 
 
@@ -51,17 +51,14 @@ def _key(line: Column, length: Column, i: int, start: Column, n: Column) -> Colu
     return F.xxhash64(length, F.lit(i), F.substr(line, (start + 1).cast("int"), n.cast("int")))
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
+def line_keys(line: Column, length: Column, edits: int, least: int) -> Column:
+    """(key, shorter) of a line's own segments, with shorter -1, and of its substrings that
+    may equal a segment of a line ``shorter`` characters shorter; the key is null where a
+    substring would leave the line.  Only shifts that leave at most i edits before segment i
+    and the rest after it are needed."""
     k = edits + 1
-    return F.array(*[_key(line, length, i, *segment(length, k, i)) for i in range(k)])
-
-
-def probe_keys(line: Column, length: Column, edits: int, least: int) -> Column:
-    """Keys of the substrings that may equal a segment of a line ``shorter`` characters
-    shorter; null where the substring would leave the line.  Only shifts that leave at most
-    i edits before segment i and the rest after it are needed."""
-    k = edits + 1
-    keys = []
+    keys = [F.struct(_key(line, length, i, *segment(length, k, i)).alias("key"), F.lit(-1).alias("shorter"))
+            for i in range(k)]
     for shorter in range(edits + 1):
         other = length - shorter
         for i in range(k):
@@ -69,19 +66,28 @@ def probe_keys(line: Column, length: Column, edits: int, least: int) -> Column:
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 at = start + shift
                 fits = (other >= least) & (at >= 0) & (at + n <= length)
-                keys.append(F.when(fits, F.struct(_key(line, other, i, at, n).alias("key"), F.lit(shorter).alias("shorter"))))
-    return F.filter(F.array(*keys), lambda x: x.isNotNull())
+                keys.append(F.struct(F.when(fits, _key(line, other, i, at, n)).alias("key"), F.lit(shorter).alias("shorter")))
+    return F.array(*keys)
 
 
-def letter_parity(line: Column) -> Column:
-    """The parity of each count of ``LETTERS``."""
+def letter_counts(line: Column) -> Column:
+    """The count of each of ``LETTERS`` modulo 16, four bits a letter."""
     bits = F.lit(0)
     for k, c in enumerate(LETTERS):
         count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(1)), k))
+        bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)), 4 * k))
     return bits
 
 
+def letter_distance(a: Column, b: Column) -> Column:
+    """At most the number of letters that differ in count; an edit changes two counts by one."""
+    total = F.lit(0)
+    for k in range(len(LETTERS)):
+        d = (F.shiftright(a, 4 * k) - F.shiftright(b, 4 * k)).bitwiseAND(F.lit(15))
+        total = total + F.least(d, F.lit(16) - d)
+    return total
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -147,17 +153,17 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def candidate_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(i1, p1): first hashes of line pairs that share a segment key and nearly their letters."""
-    line, length = F.col("line"), F.length("line")
-    rows = lines.select("h1", "line", length.alias("length")).where(F.col("length") >= least)
-    length = F.col("length")
-    sig = letter_parity(line).alias("sig")
-    index = rows.select("h1", sig, F.explode(index_keys(line, length, edits)).alias("key"))
-    probe = rows.select("h1", sig, F.explode(probe_keys(line, length, edits, least)).alias("p"))
+    line, length = F.col("line"), F.col("length")
+    rows = lines.select("h1", "line", F.length("line").alias("length")).where(length >= least)
+    keys = (rows.select("h1", letter_counts(line).alias("sig"), F.explode(line_keys(line, length, edits, least)).alias("k"))
+            .select("k.key", "k.shorter", "h1", "sig").where("key is not null"))
+    keys = written(keys, "line-keys")                        # read as both sides of the join
     # Aggregates, so that copies of a line are one row a task.
-    index = index.groupBy("key", "h1", "sig").agg(F.lit(1)).select("key", F.col("h1").alias("i1"), F.col("sig").alias("isig"))
-    probe = probe.select("p.key", "p.shorter", "h1", "sig").groupBy("key", "shorter", "h1", "sig").agg(F.lit(1)) \
-        .select("key", "shorter", F.col("h1").alias("p1"), F.col("sig").alias("psig"))
-    close = F.bit_count(F.col("isig").bitwiseXOR(F.col("psig"))) <= 2 * edits
+    index = (keys.where("shorter = -1").groupBy("key", F.col("h1").alias("i1"), F.col("sig").alias("isig")).agg(F.lit(1))
+             .select("key", "i1", "isig"))
+    probe = (keys.where("shorter >= 0").groupBy("key", "shorter", F.col("h1").alias("p1"), F.col("sig").alias("psig"))
+             .agg(F.lit(1)).select("key", "shorter", "p1", "psig"))
+    close = letter_distance(F.col("isig"), F.col("psig")) <= 2 * edits
     ordered = F.when(F.col("shorter") == 0, F.col("i1") < F.col("p1")).otherwise(F.col("i1") != F.col("p1"))
     return index.join(probe, (index.key == probe.key) & close & ordered).select("i1", "p1").distinct()
 
