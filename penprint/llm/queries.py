@@ -11,6 +11,7 @@ from penprint.llm.common import table
 from penprint.llm.decontaminate import contaminations
 from penprint.llm.permutation_index import search
 from penprint.llm.piece_offsets import piece_digests
+from penprint.llm.secret_scan import scan_secrets
 from penprint.llm.simhash import simhash_rows
 from penprint.llm.token_planes import token_files
 from penprint.llm.weak_quality import quality_scores
@@ -78,3 +79,9 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     """Extendible-hashing shard of every document."""
     return extendible_shards.shard_rows(table(spark, sf_dir, "documents"))
+
+
+@register("op6_secret_scan")
+def op6(spark, sf_dir):
+    """Secret candidates of every document, judged by the forest."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
