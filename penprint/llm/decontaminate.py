@@ -37,7 +37,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15
 BLOCKS = 4                # of 16 bits
-CLASS_RATIO = 1.2
+CLASS_RATIO = 1.3
 STRIDE = 8
 CHUNK = 16_384
 SEGMENT = 50_000
