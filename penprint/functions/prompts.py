@@ -32,7 +32,7 @@ REQUEST_MAX_TOKENS = 1000
 REQUEST_TEMPERATURE = 0.7
 # ---------------------------------------------------------------------------
 
-EXAMPLE_WORD = "Author"
+EXAMPLE_WORD = "Autor"
 
 _RESULT_FORMAT_CZ = ("Odpověz jen v tomto tvaru:\n### Analýza:\n(krátké zdůvodnění v jednom odstavci)\n"
                      "### Výsledek:\n(pouze číslo autora)")
@@ -55,8 +55,8 @@ TEMPLATES: dict[str, list[dict[str, str]]] = {
     "cz-1shot": [
         {"role": "system", "content": _RESULT_FORMAT_CZ},
         {"role": "user",
-         "content": "Dotazovaný text: Dnes prší.\n\nTexty známých autorů:\nAuthor 0: Venku leje.\n"
-                    "Author 1: Sluníčko svítí."},
+         "content": "Dotazovaný text: Dnes prší.\n\nTexty známých autorů:\nAutor 0: Venku leje.\n"
+                    "Autor 1: Sluníčko svítí."},
         {"role": "assistant", "content": "### Analýza:\nKrátké věty o počasí.\n### Výsledek:\n0"},
         {"role": "user",
          "content": "Dotazovaný text: {query_text}\n\nTexty známých autorů:\n{example_text}"},
@@ -66,8 +66,8 @@ TEMPLATES: dict[str, list[dict[str, str]]] = {
 FINETUNE_REQUEST_TEMPLATE = [
     {"role": "system", "content": _RESULT_FORMAT_CZ},
     {"role": "user",
-     "content": "Dotazovaný text: {query_text}\n\nTexty známých autorů (JSON): {example_text}"},
-    {"role": "assistant", "content": "### Výsledek:\n{correct_author}"},
+     "content": "Vysvětli podle stylu psaní, proč dotazovaný text napsal autor {correct_author}.\n\n"
+                "Dotazovaný text: {query_text}\n\nTexty známých autorů (JSON): {example_text}"},
 ]
 
 SFT_TEMPLATE = [
@@ -80,7 +80,7 @@ SFT_TEMPLATE = [
 def load_template(name: str) -> list[dict[str, str]]:
     key = name.lower()
     if key not in TEMPLATES:
-        raise ValueError("Invalid template. Available templates are: en, cz, or cz-1shot.")
+        raise ValueError(f"unknown template {name!r}; known: {', '.join(sorted(TEMPLATES))}")
     return TEMPLATES[key]
 
 

@@ -65,15 +65,12 @@ def argmax_class(scores) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("long")
 
 
-def label_dictionary(df: DataFrame, label: str = "label", bucket_rows: int | None = None) -> DataFrame:
+def label_dictionary(df: DataFrame, label: str = "label") -> DataFrame:
     """Sorted distinct labels -> dense 0-based ids (both directions in one table).
 
-    Strings sort by their UTF-8 bytes, so the first seven bytes read as a number are
-    monotone in label order; the exact bucketed rank uses them as its bucket key and
-    never sorts a large label table in one task."""
-    from penprint.operators.ranking import BUCKET_ROWS, rank_in_group, string_order_key
+    The rank is bucketed at labels sampled from the table, so a large table is never
+    sorted in one task, whatever prefixes its labels share."""
+    from penprint.operators.ranking import rank_in_group
     labels = df.select(F.col(label).cast("string").alias("label")).distinct()
-    keyed = labels.withColumn("_lk", string_order_key("label"))
-    ranked = rank_in_group(keyed, [], ["_lk", "label"], "_lk", "range", rank_col="_r",
-                           bucket_rows=bucket_rows or BUCKET_ROWS)
+    ranked = rank_in_group(labels, [], ["label"], "label", "range", rank_col="_r")
     return ranked.select("label", F.col("_r").cast("int").alias("label_id"))

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from penprint.functions import prompts as P
 from penprint.operators.metrics import macro_metrics, rep_mean_std
-from penprint.operators.ranking import (DEFAULT_SEED, first_k_in_group, hash_key, rank_in_group,
-                                       string_order_key)
+from penprint.operators.ranking import DEFAULT_SEED, first_k_in_group, hash_key, rank_in_group
 from penprint.operators.sampling import author_counts
 from penprint.session import reuse
 
@@ -24,9 +23,9 @@ from penprint.session import reuse
 def check_prompt_args(n_authors: int, reps: int | None = None) -> None:
     """At least two authors; at least one repetition (prompt sets only)."""
     if reps is not None and reps < 1:
-        raise ValueError("Number of repetitions must be at least 1")
+        raise ValueError(f"need one repetition or more, got {reps}")
     if n_authors < 2:
-        raise ValueError("Number of authors must be at least 2")
+        raise ValueError(f"need two authors or more, got {n_authors}")
 
 
 def draw_authors(counts: DataFrame, n_authors: int | None, reps: int, seed=DEFAULT_SEED) -> DataFrame:
@@ -34,11 +33,10 @@ def draw_authors(counts: DataFrame, n_authors: int | None, reps: int, seed=DEFAU
     from all authors (``None`` = all of them, in label order, as F5)."""
     per_rep = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     if n_authors is None:
-        # every author, in label order: bucketed exact rank on a byte-prefix key
-        keyed = per_rep.withColumn("_lk", string_order_key("label"))
-        ranked = rank_in_group(keyed, ["rep"], ["_lk", "label"], "_lk", "range", rank_col="_r")
+        # every author, in label order: exact bucketed rank
+        ranked = rank_in_group(per_rep, ["rep"], ["label"], "label", "range", rank_col="_r")
         return (ranked.withColumn("author_idx", F.col("_r").cast("int"))
-                .drop("_lk", "_r", "_group_n"))
+                .drop("_r", "_group_n"))
     per_rep = per_rep.withColumn("_k", hash_key(seed, F.lit("authors"), "rep", "label"))
     drawn = first_k_in_group(per_rep, ["rep"], ["_k", "label"], n_authors, rank_col="_rn")
     return drawn.withColumn("author_idx", (F.col("_rn") - 1).cast("int")).drop("_k", "_rn")
@@ -52,22 +50,28 @@ def sample_two_per_author(clean: DataFrame, n_authors: int | None, reps: int = 1
     Raises like the reference when ``n`` exceeds the number of authors or a drawn author
     has fewer than two texts (checked on the per-author table only).
     """
+    if reps < 1 or n_authors is not None:
+        check_prompt_args(2 if n_authors is None else n_authors, reps)
     clean = reuse(clean)                 # read by the author draw and the text draw
     counts = author_counts(clean)
     if check and n_authors is not None:
         if counts.count() < n_authors:
-            raise ValueError("Sample larger than population")
+            raise ValueError(f"{n_authors} authors asked for, the corpus has fewer")
     drawn = draw_authors(counts, n_authors, reps, seed)
     if check:
         short = drawn.filter(F.col("n_texts") < 2).select("label").limit(1).collect()
         if short:
-            raise ValueError(f"Not enough samples for author {short[0]['label']}.")
+            raise ValueError(f"author {short[0]['label']} has fewer than two texts")
     # ``drawn`` has at most n x reps rows (parameters): a proven bound, so it is broadcast
     # and the corpus is never shuffled by author before the per-group top-2.
     bounded = drawn.select("rep", "label", "author_idx")
-    rows = clean.join(F.broadcast(bounded) if n_authors is not None else bounded, "label")
+    # Ranks run on ids alone; the text of the two winners a group is fetched afterwards.
+    rows = clean.select("doc_id", "label").join(F.broadcast(bounded) if n_authors is not None else bounded, "label")
     rows = rows.withColumn("_k", hash_key(seed, F.lit("texts"), "rep", "doc_id"))
-    two = first_k_in_group(rows, ["rep", "label"], ["_k", "doc_id"], 2, rank_col="_rn")
+    two = first_k_in_group(rows, ["rep", "label"], ["_k", "doc_id"], 2, rank_col="_rn").drop("_k")
+    if n_authors is not None:
+        two = F.broadcast(two)           # at most 2 x n x reps ids
+    two = clean.select("doc_id", "text").join(two, "doc_id")
     return (two.groupBy("rep", "label", "author_idx")
             .agg(F.max(F.when(F.col("_rn") == 1, F.col("text"))).alias("query_text"),
                  F.max(F.when(F.col("_rn") == 2, F.col("text"))).alias("example_text"))
@@ -101,9 +105,10 @@ def example_json(prompt_set: DataFrame) -> DataFrame:
 def number_rows(df: DataFrame, seed=DEFAULT_SEED, prefix: str = "request_") -> DataFrame:
     """G-3 + G-5: shuffle by a seeded key and number the rows ``request_0..`` globally.
 
-    Uses the bucketed global rank (no single-partition window)."""
-    keyed = df.withColumn("_k", hash_key(seed, F.lit("shuffle"), "rep", "label"))
+    Uses the bucketed global rank (no single-partition window) on the row keys alone."""
+    keyed = df.select("rep", "label").withColumn("_k", hash_key(seed, F.lit("shuffle"), "rep", "label"))
     ranked = rank_in_group(keyed, [], ["_k", "rep", "label"], "_k", "hex", rank_col="_i")
+    ranked = df.join(ranked, ["rep", "label"])
     return (ranked.withColumn("custom_id", F.concat(F.lit(prefix), F.col("_i").cast("string")))
             .withColumn("request_idx", F.col("_i")).drop("_k", "_i", "_group_n"))
 
@@ -197,8 +202,8 @@ def sft_rows(prompt_set: DataFrame, responses: DataFrame, seed=DEFAULT_SEED,
         "query_text": F.col("query_text"), "example_text": lines,
         "response": F.col("response"), "label": F.col("label")}, fill_all=True)
     rows = rows.withColumn("chat", P.flatten_chat(msgs))
-    keyed = rows.withColumn("_k", hash_key(seed, F.lit("sft"), "rep", "label"))
-    ranked = rank_in_group(keyed, [], ["_k", "rep", "label"], "_k", "hex")
+    keyed = rows.select("rep", "label").withColumn("_k", hash_key(seed, F.lit("sft"), "rep", "label"))
+    ranked = rows.join(rank_in_group(keyed, [], ["_k", "rep", "label"], "_k", "hex"), ["rep", "label"])
     n_test = F.ceil(F.lit(float(test_size)) * F.col("_group_n"))
     return (ranked.withColumn("split", F.when(F.col("_rank") < F.col("_group_n") - n_test, "train")
                               .otherwise("test"))

@@ -2,10 +2,12 @@
 
 ``row_number() over (partition by g order by k)`` puts a whole group into one task; with
 one author holding a third of the corpus that task is a third of the job.  Here every
-group is cut into ``ceil(n / bucket_rows)`` buckets by a *monotone* function of its sort
-key, bucket sizes are counted with partial (map-side) aggregation, bucket offsets come
-from a window over that small count table, and the final ``row_number`` runs per
-(group, bucket).  Ranks are exact; only the load balance depends on the bucket split.
+group is cut into buckets by a *monotone* function of its sort key: the leading hex digits
+of an md5 key, or else bounds sampled from the group itself by the hash of the key.  Bucket
+sizes are counted with partial (map-side) aggregation, bucket offsets come from a window
+over that small count table, and the final ``row_number`` runs per (group, bucket).  There
+is one plan for every size, it is lazy, and both steps evaluate the same deterministic
+bucket.  Groups are compared null-safe, so rows of a null group are ranked like any other.
 """
 
 from __future__ import annotations
@@ -14,9 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
-BUCKET_ROWS = 2_000_000       # target rows per (group, bucket) window partition
-
-_HEX_BITS = 40                # bits read from the front of a hex key (10 hex digits)
+HEX_DIGITS = 3                # leading digits of an md5 key: 4,096 even buckets a group
+BOUNDS = 64                   # bounds sampled from a group whose key is not a hash
 
 
 def hash_key(seed, *cols) -> Column:
@@ -26,77 +27,55 @@ def hash_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def string_order_key(col) -> Column:
-    """A number monotone in Spark's (UTF-8 byte) string order: the first seven bytes."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.conv(F.rpad(F.substring(F.hex(c), 1, 14), 14, "0"), 16, 10).cast("long")
-
+def _same_groups(cols: list[str], renamed: list[str]) -> Column:
+    cond = F.lit(True)
+    for c, r in zip(cols, renamed):
+        cond = cond & F.col(c).eqNullSafe(F.col(r))
+    return cond
 
-def _hex_bucket(key: Column, nb: Column) -> Column:
-    prefix = F.conv(F.substring(key, 1, _HEX_BITS // 4), 16, 10).cast("long")
-    return F.shiftright(prefix * nb, _HEX_BITS)
 
-
-def _range_bucket(v: Column, lo: Column, hi: Column, nb: Column) -> Column:
-    width = (hi.cast("double") - lo.cast("double") + F.lit(1.0)) / nb
-    b = F.floor((v.cast("double") - lo.cast("double")) / width).cast("long")
-    return F.least(F.greatest(b, F.lit(0)), nb - 1)
+def _with_bucket(df: DataFrame, groups: list[str], key: str, kind: str) -> DataFrame:
+    """``_b``: a bucket monotone in ``key`` within each group (nulls in bucket 0)."""
+    if kind == "hex":
+        digits = F.conv(F.substring(F.col(key), 1, HEX_DIGITS), 16, 10).cast("long")
+        return df.withColumn("_b", F.coalesce(digits, F.lit(0)))
+    drawn = (df.select(*groups, key).where(F.col(key).isNotNull())
+             .withColumn("_h", F.xxhash64(F.lit(7), F.col(key))))
+    drawn = first_k_in_group(drawn, groups, ["_h", key], BOUNDS, rank_col="_rn")
+    names = [f"_bg{i}" for i in range(len(groups))]
+    bounds = drawn.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names)]) \
+        .agg(F.sort_array(F.collect_set(key)).alias("_bounds"))      # BOUNDS keys a group at most
+    x = df.join(bounds, _same_groups(groups, names), "left").drop(*names)
+    below = F.size(F.filter("_bounds", lambda v: v < F.col(key)))
+    return x.withColumn("_b", F.coalesce(F.when(F.col(key).isNotNull() & F.col("_bounds").isNotNull(), below),
+                                         F.lit(0)).cast("long")).drop("_bounds")
 
 
 def rank_in_group(df: DataFrame, group_cols: list[str], order_cols: list[str],
                   bucket_col: str | None = None, bucket_kind: str = "hex",
-                  rank_col: str = "_rank", size_col: str = "_group_n",
-                  bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+                  rank_col: str = "_rank", size_col: str = "_group_n") -> DataFrame:
     """Add ``rank_col`` (0-based position by ``order_cols`` asc within the group) and
     ``size_col`` (group size).
 
     ``bucket_col`` must be the leading sort column: a hex string (``bucket_kind='hex'``,
-    e.g. an md5 key) or a number/timestamp (``'range'``).  ``order_cols`` must be unique
+    e.g. an md5 key) or any orderable value (``'range'``).  ``order_cols`` must be unique
     within a group for the rank to be deterministic.
-
-    The largest group size is read first (one small aggregate); when every group fits
-    one window partition the plain window plan is used, otherwise the bucketed one.
     """
-    bucket_col = bucket_col or order_cols[0]
-    g = list(group_cols)
-    gcols = g if g else ["_all"]
-    base = df if g else df.withColumn("_all", F.lit(0))
-
-    largest = base.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
-    if largest is None or largest <= bucket_rows:
-        wg = Window.partitionBy(*gcols)
-        out = (base.withColumn(size_col, F.count(F.lit(1)).over(wg))
-               .withColumn(rank_col, (F.row_number().over(wg.orderBy(*order_cols)) - 1).cast("long")))
-        return out if g else out.drop("_all")
-
-    stats = [F.count(F.lit(1)).alias(size_col)]
-    if bucket_kind == "range":
-        stats += [F.min(bucket_col).alias("_lo"), F.max(bucket_col).alias("_hi")]
-    counts = (base.groupBy(*gcols).agg(*stats)
-              .withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col(size_col) / F.lit(bucket_rows))).cast("long")))
-    if not g:
-        counts = F.broadcast(counts)          # exactly one row
-    x = base.join(counts, gcols)
-    if bucket_kind == "hex":
-        x = x.withColumn("_b", _hex_bucket(F.col(bucket_col), F.col("_nb")))
-    else:
-        key = F.col(bucket_col)
-        if dict(df.dtypes).get(bucket_col, "").startswith("timestamp"):
-            # Any monotone map to numbers will do; NTZ values are read in the session zone.
-            key = F.unix_micros(key.cast("timestamp"))
-            x = (x.withColumn("_lo", F.unix_micros(F.col("_lo").cast("timestamp")))
-                 .withColumn("_hi", F.unix_micros(F.col("_hi").cast("timestamp"))))
-        x = x.withColumn("_b", _range_bucket(key, F.col("_lo"), F.col("_hi"), F.col("_nb")))
-        x = x.drop("_lo", "_hi")
-
-    sizes = x.groupBy(*gcols, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    w_off = Window.partitionBy(*gcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_bn").over(w_off), F.lit(0))).drop("_bn")
-    x = x.join(offsets, gcols + ["_b"])
-    w = Window.partitionBy(*gcols, "_b").orderBy(*order_cols)
-    x = x.withColumn(rank_col, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-    drop = ["_b", "_off", "_nb"] + ([] if g else ["_all"])
-    return x.drop(*drop)
+    groups = list(group_cols) or ["_all"]
+    base = df if group_cols else df.withColumn("_all", F.lit(0))
+    x = _with_bucket(base, groups, bucket_col or order_cols[0], bucket_kind)
+    names = [f"_sg{i}" for i in range(len(groups))]
+    sizes = x.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names)], F.col("_b").alias("_sb")) \
+        .agg(F.count(F.lit(1)).alias("_bn"))
+    whole = Window.partitionBy(*names)
+    before = whole.orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (sizes.withColumn(size_col, F.sum("_bn").over(whole))
+               .withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))).drop("_bn"))
+    w = Window.partitionBy(*groups, "_b").orderBy(*order_cols)
+    x = x.withColumn("_rn_b", F.row_number().over(w))
+    x = x.join(offsets, _same_groups(groups, names) & (F.col("_b") == F.col("_sb")))
+    x = x.withColumn(rank_col, (F.col("_off") + F.col("_rn_b") - 1).cast("long"))
+    return x.drop("_b", "_sb", "_off", "_rn_b", *names, *([] if group_cols else ["_all"]))
 
 
 def first_k_in_group(df: DataFrame, group_cols: list[str], order_cols: list, k: int,

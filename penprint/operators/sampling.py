@@ -6,20 +6,19 @@ reproducible, independent of partitioning and identical in DuckDB.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.operators.ranking import DEFAULT_SEED, first_k_in_group, hash_key, rank_in_group
 
 DEFAULT_SPLIT = (0.7, 0.15, 0.15)
 SPLIT_NAMES = ("train", "val", "test")
+PARTIAL_LIMIT = 100       # limits for which every map task may forward that many rows a group
 
 
 def check_split(split) -> tuple[float, ...]:
     if sum(split) != 1:
-        raise ValueError("Sum of split values must be 1")
+        raise ValueError(f"split fractions {tuple(split)} do not add up to 1")
     return tuple(float(s) for s in split)
 
 
@@ -36,14 +35,18 @@ def author_counts(corpus: DataFrame) -> DataFrame:
 def author_rank(counts: DataFrame) -> DataFrame:
     """0-based rank by count desc, label asc (explicit tie-break).
 
-    Runs on the per-author count table.  The global order is computed with the bucketed
-    rank (buckets over count ranges), so even a very large author table is never sorted
-    in one task.
+    Runs on the per-author count table.  Authors of equal count are one group, ranked by
+    label in buckets (a long tail of one-text authors is never sorted in one task); a
+    prefix sum over the distinct counts, of which N texts allow fewer than sqrt(2N),
+    gives each group its place.
     """
-    keyed = counts.withColumn("_neg", -F.col("n_texts"))
-    ranked = rank_in_group(keyed, [], ["_neg", "label"], "_neg", "range", rank_col="_r")
-    return (ranked.withColumn("author_rank", F.col("_r").cast("int"))
-            .drop("_neg", "_r", "_group_n"))
+    ties = rank_in_group(counts, ["n_texts"], ["label"], "label", "range", rank_col="_r")
+    larger = Window.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
+    before = (counts.groupBy(F.col("n_texts").alias("_n")).agg(F.count(F.lit(1)).alias("_same"))
+              .select("_n", F.coalesce(F.sum("_same").over(larger), F.lit(0)).alias("_before")))
+    return (ties.join(before, F.col("n_texts") == F.col("_n"))
+            .withColumn("author_rank", (F.col("_before") + F.col("_r")).cast("int"))
+            .drop("_n", "_before", "_r", "_group_n"))
 
 
 def top_authors(ranked: DataFrame, n: int) -> DataFrame:
@@ -67,16 +70,12 @@ def limit_per_author(df: DataFrame, limit: int | None) -> DataFrame:
     if limit is None:
         return df
     if limit < 1:
-        raise ValueError("Limit must be at least 1")
-    return first_k_in_group(df, ["label"], ["doc_id"], limit).drop("_rn")
-
-
-def limit_warnings(df: DataFrame, limit: int | None) -> DataFrame:
-    """Authors that have fewer than ``limit`` texts (the reference logs a warning)."""
-    counts = author_counts(df)
-    if limit is None:
-        return counts.limit(0)
-    return counts.filter(F.col("n_texts") < limit)
+        raise ValueError(f"a limit per author must be positive, got {limit}")
+    if limit <= PARTIAL_LIMIT:
+        return first_k_in_group(df, ["label"], ["doc_id"], limit).drop("_rn")
+    ranked = rank_in_group(df.select("doc_id", "label"), ["label"], ["doc_id"], "doc_id", "range")
+    keep = ranked.filter(F.col("_rank") < limit).select("doc_id")
+    return df.join(keep, "doc_id", "left_semi")
 
 
 def split_column(rank, size, split) -> "F.Column":
@@ -130,7 +129,7 @@ def out_of_class_pool(corpus: DataFrame, ranked_authors: DataFrame, n: int,
 def require_others(ranked_authors: DataFrame, n: int) -> None:
     """The reference divides by the number of non-selected authors."""
     if ranked_authors.filter(F.col("author_rank") >= n).limit(1).count() == 0:
-        raise ValueError("Out-of-class texts need at least one non-selected author")
+        raise ValueError("no author is left for out-of-class texts")
 
 
 def apply_label_map(df: DataFrame, ranked_authors: DataFrame) -> DataFrame:
@@ -140,9 +139,3 @@ def apply_label_map(df: DataFrame, ranked_authors: DataFrame) -> DataFrame:
     return (df.join(m, df["label"] == m["_from"], "left")
             .withColumn("label", F.coalesce(F.col("_to"), F.col("label")))
             .drop("_from", "_to"))
-
-
-def texts_per_author_ooc(last_n: int, n_other: int) -> int:
-    if n_other == 0:
-        raise ValueError("Out-of-class texts need at least one non-selected author")
-    return math.ceil(last_n / n_other)

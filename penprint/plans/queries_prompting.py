@@ -67,6 +67,16 @@ def _last_content_sql(template, values):
     return O.fill(template[-1]["content"], values)
 
 
+def _messages_sql(template, values):
+    """Every message as ``role: content``; only the last one has its placeholders filled."""
+    fixed = "".join(f"{m['role']}: {m['content']}\n" for m in template[:-1])
+    return f"{O.q(fixed + template[-1]['role'] + ': ')} || {_last_content_sql(template, values)}"
+
+
+def _messages_text(col):
+    return F.array_join(F.transform(F.col(col), lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+
+
 @register("i17_finetune_requests", f"""WITH {_PS}, {O.example_json_cte()},
 rows AS (SELECT p.*, ej.example_json FROM prompt_set p JOIN ej USING (rep)),
 num AS (SELECT *, row_number() OVER (ORDER BY {O.hash_key("'shuffle'", O.vc('rep'), O.vc('label'))},
@@ -76,14 +86,15 @@ SELECT 'request_' || CAST(request_idx AS VARCHAR) AS custom_id, request_idx, rep
        {_last_content_sql(P.FINETUNE_REQUEST_TEMPLATE,
                           {'query_text': 'query_text', 'example_text': 'example_json',
                            'correct_author': 'label'})} AS last_message,
-       {len(P.FINETUNE_REQUEST_TEMPLATE)} AS n_messages
+       {_messages_sql(P.FINETUNE_REQUEST_TEMPLATE,
+                      {'query_text': 'query_text', 'example_text': 'example_json', 'correct_author': 'label'})} AS messages
 FROM num""")
 def i17_finetune_requests(spark, sf):
     req = PR.finetune_requests(_prompt_set(spark, sf))
     return req.select("custom_id", "request_idx", "rep", "label", "example_json", "method", "url",
                       F.col("body.model").alias("model"),
                       F.element_at("body.messages", -1)["content"].alias("last_message"),
-                      F.size("body.messages").alias("n_messages"))
+                      _messages_text("body.messages").alias("messages"))
 
 
 _TT = P.template_tokens(P.load_template(TEMPLATE))
@@ -122,12 +133,13 @@ blocks AS (SELECT rep, string_agg('{P.EXAMPLE_WORD} ' || CAST(label AS VARCHAR)
                   chr(10) ORDER BY label) AS examples FROM cropped GROUP BY rep)
 SELECT c.rep, c.label,
        {_last_content_sql(P.load_template(TEMPLATE), {'query_text': 'c.query_text', 'example_text': 'blocks.examples'})}
-         AS prompt, {len(P.load_template(TEMPLATE))} AS n_messages
+         AS prompt, {_messages_sql(P.load_template(TEMPLATE), {'query_text': 'c.query_text', 'example_text': 'blocks.examples'})}
+         AS messages
 FROM cropped c JOIN blocks USING (rep)""")
 def b17_render_prompt(spark, sf):
     x = PR.prompt_inputs(_prompt_set(spark, sf), TEMPLATE, MODEL_CONTEXT)
     return x.select("rep", "label", F.element_at("messages", -1)["content"].alias("prompt"),
-                    F.size("messages").alias("n_messages"))
+                    _messages_text("messages").alias("messages"))
 
 
 # -- B18 / B18b over conversations with literal response sections ------------------

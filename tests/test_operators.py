@@ -39,7 +39,7 @@ def test_rank_in_group_exact_with_many_buckets(spark):
     # Force many buckets per group: ranks must still be a permutation in key order.
     df = spark.range(0, 3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("string").alias("g"))
     df = df.withColumn("_key", hash_key(7, "doc_id"))
-    r = rank_in_group(df, ["g"], ["_key", "doc_id"], "_key", "hex", bucket_rows=50).collect()
+    r = rank_in_group(df, ["g"], ["_key", "doc_id"], "_key", "hex").collect()
     for g in ("0", "1"):
         rows = sorted((x["_key"], x["doc_id"], x["_rank"]) for x in r if x["g"] == g)
         assert [x[2] for x in rows] == list(range(len(rows)))
@@ -48,7 +48,7 @@ def test_rank_in_group_exact_with_many_buckets(spark):
 def test_rank_in_group_range_buckets(spark):
     df = spark.range(0, 1000).select(F.col("id").alias("doc_id"), F.lit("u").alias("g"),
                                      (F.col("id") * 7 % 1000).alias("v"))
-    r = rank_in_group(df, ["g"], ["v", "doc_id"], "v", "range", bucket_rows=30).collect()
+    r = rank_in_group(df, ["g"], ["v", "doc_id"], "v", "range").collect()
     rows = sorted((x["v"], x["doc_id"], x["_rank"]) for x in r)
     assert [x[2] for x in rows] == list(range(1000))
 
@@ -147,5 +147,5 @@ def test_author_rank_ties_by_label(spark):
 def test_label_dictionary_orders_bytes_with_many_buckets(spark):
     labels = ["b", "a", "ab", "abcdefghij", "abcdefgh", "é", "Z", "a"]
     df = spark.createDataFrame([(x,) for x in labels], "label string")
-    got = [r["label"] for r in M.label_dictionary(df, bucket_rows=2).orderBy("label_id").collect()]
+    got = [r["label"] for r in M.label_dictionary(df).orderBy("label_id").collect()]
     assert got == sorted(set(labels), key=lambda s: s.encode("utf-8"))
