@@ -2,7 +2,7 @@
 
 The pages are not well-formed XML (G15), so Spark's ``xpath`` cannot be used.  The regex
 form below treats blocks as non-nested: boilerplate ``<div>`` blocks are cut, the main
-container is the first ``<article>``, a paragraph runs from a ``<p>`` tag to its ``</p>``
+containers are the ``<article>`` elements, a paragraph runs from a ``<p>`` tag to its ``</p>``
 or the next ``<p>``.  Unlike lxml's ``remove`` it keeps the text that follows a removed
 block (G14).
 """
@@ -40,12 +40,17 @@ def boilerplate_pattern(classes, tag: str = "div") -> str:
     return f"(?s)<{tag}[^>]*class=\"[^\"]*(?:{alt})[^\"]*\"[^>]*>.*?</{tag}>"
 
 
-def remove_blocks(html, classes, tag: str = "div") -> Column:
+def remove_blocks(html, classes=NEWS_BOILERPLATE, tag: str = "div") -> Column:
     return F.regexp_replace(as_col(html), boilerplate_pattern(classes, tag), "")
 
 
 def main_container(html, tag: str = "article") -> Column:
-    return F.regexp_extract(as_col(html), f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
+    """Content of every container of the page, in order."""
+    return _all_parts(html, tag)
+
+
+def _all_parts(html, tag: str) -> Column:
+    return F.array_join(F.regexp_extract_all(as_col(html), F.lit(f"(?s)<{tag}(?:[ \\t\\n\\r\\f][^>]*)?>(.*?)</{tag}>"), 1), "")
 
 
 def unescape(text) -> Column:
@@ -68,8 +73,8 @@ def paragraphs(html_fragment) -> Column:
         F.regexp_replace(p, "(?s)</p>.*", ""), TAG, ""))))
 
 
-def html_main_text(html, boilerplate=("ad",)) -> Column:
-    """Boilerplate removed, paragraphs of the main container, non-empty ones joined
+def html_main_text(html, boilerplate=NEWS_BOILERPLATE) -> Column:
+    """Boilerplate removed, paragraphs of all main containers, non-empty ones joined
     by newlines, then the news-article rules (B6)."""
     paras = paragraphs(main_container(remove_blocks(html, boilerplate)))
     joined = F.array_join(F.filter(paras, lambda p: p != ""), "\n")
@@ -81,13 +86,13 @@ def page_lang(html) -> Column:
 
 
 def html_links(html, section: str = "nav") -> Column:
-    """Hrefs inside the first ``<section>`` element (``nav`` by default)."""
-    part = F.regexp_extract(as_col(html), f"(?s)<{section}[^>]*>(.*?)</{section}>", 1)
+    """Hrefs inside every ``<section>`` element (``nav`` by default)."""
+    part = _all_parts(html, section)
     return F.regexp_extract_all(part, F.lit("href=\"([^\"]*)\""), 1)
 
 
 def link_texts(html, section: str = "nav") -> Column:
-    part = F.regexp_extract(as_col(html), f"(?s)<{section}[^>]*>(.*?)</{section}>", 1)
+    part = _all_parts(html, section)
     return F.regexp_extract_all(part, F.lit("<a[^>]*>([^<]*)</a>"), 1)
 
 

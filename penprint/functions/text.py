@@ -65,12 +65,6 @@ def tokenize_truncate(text, max_tokens: int) -> Column:
     return F.slice(F.regexp_extract_all(as_col(text), F.lit(TOKEN_PATTERN), 0), 1, max_tokens)
 
 
-def nonblank(text) -> Column:
-    """Present and not only whitespace."""
-    t = as_col(text)
-    return t.isNotNull() & (F.regexp_replace(t, WS_RUN_PATTERN, "") != "")
-
-
 def min_chars(text, n: int = MIN_AUTHOR_TEXT_LENGTH) -> Column:
     """At least ``n`` code points."""
     return F.length(as_col(text)) >= n
@@ -81,12 +75,6 @@ def min_tokens(text, n: int = MIN_CORPUS_TOKENS) -> Column:
     return count_tokens(text) > n
 
 
-def min_tokens_after_cleaning(raw, n: int = MIN_CORPUS_TOKENS) -> Column:
-    """C2 on ``clean_text(raw)`` without building the cleaned text: cleaning only masks
-    URLs and rewrites whitespace, and whitespace never changes the token count."""
-    return count_tokens(mask_urls(raw)) > n
-
-
 def language_ok(lang, accepted=None) -> Column:
     """C5 (a): predicted language is in the accept set; ``None`` accepts everything."""
     if not accepted:

@@ -116,43 +116,49 @@ def items_per_author(items: DataFrame, author: str) -> DataFrame:
     return items.groupBy(author).agg(F.count(F.lit(1)).alias("n_items"))
 
 
-def prune_tree(nodes: DataFrame, id_cols: list[str], parent_cols: list[str], bad: Column,
-               max_rounds: int = 64) -> DataFrame:
+def prune_tree(nodes: DataFrame, id_cols: list[str], parent_cols: list[str], bad: Column) -> DataFrame:
     """D4 core: ``blocked`` = some node on the path from the node up to (excluding) its
-    root is bad.  Roots have null parents.
-
-    Pointer jumping: each round joins every node to its current ancestor and doubles the
-    jump, so ``ceil(log2(depth))`` rounds suffice.  Lineage is cut every round (reliable
-    checkpoint), which also makes each round restartable after an executor loss.
+    root is bad, or the path ends at a parent that is not in ``nodes`` (a crawler never
+    reaches such a node).  Roots have null parents.
+
+    Pointer jumping: each round joins every unresolved node to its current ancestor and
+    doubles the jump, so ``ceil(log2(nodes))`` rounds resolve every path; nodes left after
+    that many lie on a cycle of parents, which raises.  Resolved nodes stay out of the
+    join's probing side.  Lineage is cut every round (reliable checkpoint), which also makes
+    each round restartable after an executor loss.
     """
-    ids = [F.col(c) for c in id_cols]
-    state = nodes.select(*ids, *[F.col(p).alias(f"_a{i}") for i, p in enumerate(parent_cols)],
-                         bad.alias("_bad"))
     anc = [f"_a{i}" for i in range(len(parent_cols))]
-    state = cut_lineage(state)
-    for _ in range(max_rounds):
-        if state.filter(F.col(anc[0]).isNotNull()).limit(1).count() == 0:
+    state = cut_lineage(nodes.select(*id_cols, *[F.col(p).alias(a) for p, a in zip(parent_cols, anc)],
+                                     bad.alias("_bad")))
+    rounds = 0
+    while True:
+        open_ = state.filter(F.col(anc[0]).isNotNull())
+        if open_.isEmpty():
             break
+        if rounds == 0:
+            most = state.count().bit_length() + 1
+        if rounds == most:
+            raise ValueError("parent references form a cycle")
         up = state.select(*[F.col(c).alias(f"_u{i}") for i, c in enumerate(id_cols)],
                           *[F.col(a).alias(f"_ua{i}") for i, a in enumerate(anc)],
                           F.col("_bad").alias("_ubad"))
-        cond = [F.col(a) == F.col(f"_u{i}") for i, a in enumerate(anc)]
-        j = state.join(up, cond, "left")
-        has = F.col(anc[0]).isNotNull()
-        state = j.select(*id_cols,
-                         *[F.when(has, F.col(f"_ua{i}")).alias(a) for i, a in enumerate(anc)],
-                         (F.col("_bad") | (has & F.coalesce(F.col("_ubad"), F.lit(False)))).alias("_bad"))
-        state = cut_lineage(state)
+        j = open_.join(up, [F.col(a) == F.col(f"_u{i}") for i, a in enumerate(anc)], "left")
+        moved = j.select(*id_cols, *[F.col(f"_ua{i}").alias(a) for i, a in enumerate(anc)],
+                         (F.col("_bad") | F.coalesce(F.col("_ubad"), F.lit(True))).alias("_bad"))
+        state = cut_lineage(state.filter(F.col(anc[0]).isNull()).unionByName(moved))
+        rounds += 1
     return state.select(*id_cols, F.col("_bad").alias("blocked"))
 
 
-def forum_rows(conv: DataFrame, author: Column) -> DataFrame:
+def forum_rows(conv: DataFrame, author: Column, lang: Column | None = None,
+               accepted_langs=None) -> DataFrame:
     """I18 (forum): ``(author, item_id, text)`` from threads in ``conversations``.
 
     Turn 0 is the submission (emitted when its author is valid, its body non-empty and
     its text accepted); every later turn replies to the previous turn of the thread.  A
     comment is visited only if it and all comments above it are valid (C4); a visited
-    comment is emitted when its text passes B5.  Comments are visited even when the
+    comment is emitted when its text passes B5 (with ``accepted_langs``, only if the
+    predicted language ``lang`` is among them).  Comments are visited even when the
     submission itself is rejected (C7).
     """
     c = conv.withColumn("author", author)
@@ -166,5 +172,5 @@ def forum_rows(conv: DataFrame, author: Column) -> DataFrame:
     keep = F.when(is_root, valid_author("author") & (F.col("text") != "")).otherwise(~F.col("blocked"))
     out = x.filter(keep).select(
         "author", F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"),
-        forum_post_text("text").alias("text"))
+        forum_post_text("text", lang, accepted_langs).alias("text"))
     return out.filter(F.col("text").isNotNull())

@@ -133,9 +133,10 @@ def require_others(ranked_authors: DataFrame, n: int) -> None:
 
 
 def apply_label_map(df: DataFrame, ranked_authors: DataFrame) -> DataFrame:
-    """Replace an author by its rank string; unknown labels stay as they are."""
+    """Replace an author by its rank string; unknown labels stay as they are.
+    ``ranked_authors`` holds the selected authors, at most ``n`` rows (a parameter)."""
     m = ranked_authors.select(F.col("label").alias("_from"),
                               F.col("author_rank").cast("string").alias("_to"))
-    return (df.join(m, df["label"] == m["_from"], "left")
+    return (df.join(F.broadcast(m), df["label"] == m["_from"], "left")
             .withColumn("label", F.coalesce(F.col("_to"), F.col("label")))
             .drop("_from", "_to"))

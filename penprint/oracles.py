@@ -258,10 +258,14 @@ def paragraphs(fragment: str) -> str:
     return f"list_transform({body}, lambda p: {rx_replace(unescape(inner), EDGE_WS)})"
 
 
+def all_parts(html: str, tag: str) -> str:
+    return f"array_to_string(regexp_extract_all({html}, '(?s)<{tag}(?:[ \\t\\n\\r\\f][^>]*)?>(.*?)</{tag}>', 1), '')"
+
+
 def main_fragment(html: str, boilerplate=("ad",)) -> str:
     from penprint.functions.html import boilerplate_pattern
     cleaned = rx_replace(html, boilerplate_pattern(boilerplate))
-    return f"regexp_extract({cleaned}, '(?s)<article[^>]*>(.*?)</article>', 1)"
+    return all_parts(cleaned, "article")
 
 
 def html_main_text(html: str, boilerplate=("ad",)) -> str:

@@ -53,23 +53,26 @@ def create_dataset(clean: DataFrame, n: int, limit: int | None = None,
     ``str(n)`` and are added after the rank mapping (G6).
     """
     if limit is not None and limit < 1:
-        raise ValueError("Limit must be at least 1")
+        raise ValueError(f"a limit per author must be positive, got {limit}")
     split = S.check_split(split)
     clean = reuse(clean)                 # read by the ranking and by the row branches
-    ranked = ranked_authors(clean)
+    ranked = reuse(ranked_authors(clean))      # one row an author, read by every branch below
     selected = S.top_authors(ranked, n)
-    # Rank and split narrow (doc_id, label) rows; the text joins back by doc_id at the end,
-    # so it never travels through the per-author exchanges.
+    # Rank and split narrow (doc_id, label) rows; the text of the selected authors alone joins
+    # back by doc_id at the end, so it never travels through the per-author exchanges.
     narrow = S.restrict_to(clean.select("doc_id", "label"), selected)
     narrow = S.limit_per_author(narrow, limit)
-    parts = S.apply_label_map(S.stratified_split(narrow, split, seed), ranked).select("doc_id", "label", "split")
+    parts = S.apply_label_map(S.stratified_split(narrow, split, seed), selected).select("doc_id", "label", "split")
+    texts = S.restrict_to(clean, selected).select("doc_id", "text")
+    parts = texts.join(parts, "doc_id")
     if add_out_of_class:
         S.require_others(ranked, n)
         pool = S.out_of_class_pool(clean.select("doc_id", "label"), ranked, n, seed)
         pool_split = S.stratified_split(pool, split, seed, group_cols=("label",),
                                         key_cols=(F.lit("pool"), "doc_id"))
-        parts = parts.unionByName(pool_split.select("doc_id", "label", "split"))
-    parts = clean.select("doc_id", "text").join(parts, "doc_id").select("doc_id", "label", "text", "split")
+        others = S.exclude(clean, selected).select("doc_id", "text")
+        parts = parts.unionByName(others.join(pool_split.select("doc_id", "label", "split"), "doc_id"))
+    parts = parts.select("doc_id", "label", "text", "split")
     if add_text_features:
         from penprint.functions.features import style_columns
         parts = parts.select("*", *style_columns("text"))

@@ -27,7 +27,7 @@ def a10_load_pages(spark, sf):
 @register("b7_html_main_text", f"SELECT page_id, {O.html_main_text('html')} AS text FROM pages")
 def b7_html_main_text(spark, sf):
     p = load_pages(spark, sf)
-    return p.select("page_id", H.html_main_text("html").alias("text"))
+    return p.select("page_id", H.html_main_text("html", ("ad",)).alias("text"))
 
 
 @register("b8_html_item_rows", f"""
@@ -50,8 +50,8 @@ def b8_html_item_rows(spark, sf):
     return r.filter(F.col("text").isNotNull())
 
 
-@register("b9_html_links", """
-WITH x AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1),
+@register("b9_html_links", f"""
+WITH x AS (SELECT page_id, regexp_extract_all({O.all_parts('html', 'nav')},
                                               'href="([^"]*)"', 1) AS links FROM pages)
 SELECT page_id, CAST(generate_subscripts(links, 1) - 1 AS INTEGER) AS pos, unnest(links) AS href FROM x""")
 def b9_html_links(spark, sf):
@@ -235,7 +235,7 @@ WHERE text IS NOT NULL""")
 def i18_collect_news(spark, sf):
     p = load_pages(spark, sf).filter(~H.missing_page("html"))
     x = p.select(H.user_from_url("url", HOST_MARKER).alias("author"), F.col("url").alias("article_url"),
-                 H.html_main_text("html").alias("text"))
+                 H.html_main_text("html", ("ad",)).alias("text"))
     return x.filter(F.col("text").isNotNull())
 
 
@@ -258,22 +258,22 @@ WITH x AS (SELECT page_id, url, regexp_extract(html, '<html[^>]*lang="([^"]*)"',
                   CASE WHEN regexp_extract(url, '[?&]page=([0-9]+)', 1) = '' THEN 1
                        ELSE CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS INTEGER) END AS page_no,
                   {O.paragraphs(O.main_fragment('html'))} AS paras FROM pages),
-e AS (SELECT page_id, page_no, url, lang, unnest(paras) AS para FROM x),
-r AS (SELECT page_id, page_no, {O.user_from_url('url', HOST_MARKER)} AS author,
+e AS (SELECT page_id, page_no, url, lang, unnest(paras) AS para, generate_subscripts(paras, 1) - 1 AS pos FROM x),
+r AS (SELECT page_id, page_no, {O.user_from_url('url', HOST_MARKER)} AS author, CAST(pos AS INTEGER) AS pos,
+             {O.entity_id('url', PAGE_ID_PREFIX)} AS item_id,
              CASE WHEN lang IN ({', '.join(O.q(x) for x in REVIEW_LANGS)}) THEN {O.author_text('para')} END AS text
       FROM e),
 pg AS (SELECT author, page_no, page_id, sum(CASE WHEN text IS NOT NULL THEN 1 ELSE 0 END) AS pa
        FROM r GROUP BY author, page_no, page_id),
 pb AS (SELECT author, page_no, page_id, coalesce(sum(pa) OVER (PARTITION BY author ORDER BY page_no, page_id
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pg)
-SELECT author, count(*) AS n_reviews, count(DISTINCT r.page_id) AS n_pages FROM r
+SELECT author, item_id, r.page_id, r.pos, r.text FROM r
 JOIN pb USING (author, page_no, page_id)
-WHERE pb.before < {REVIEW_QUOTA} AND r.text IS NOT NULL GROUP BY author""")
+WHERE pb.before < {REVIEW_QUOTA} AND r.text IS NOT NULL""")
 def i18_collect_reviews(spark, sf):
     rows = _review_rows(spark, sf)
     kept = C.page_quota(rows, "author", ["page_no", "page_id"], F.col("text").isNotNull(), REVIEW_QUOTA)
-    return kept.groupBy("author").agg(F.count(F.lit(1)).alias("n_reviews"),
-                                      F.countDistinct("page_id").alias("n_pages"))
+    return kept.select("author", "item_id", "page_id", "pos", "text")
 
 
 # -- A11 / F6 / F7 / E12 over events ------------------------------------------------------
@@ -331,8 +331,8 @@ def d3_pending_items(spark, sf):
     return C.pending_items(cust, orders, "c_custkey", "o_custkey")
 
 
-@register("a12_author_frontier", """
-WITH x AS (SELECT unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1),
+@register("a12_author_frontier", f"""
+WITH x AS (SELECT unnest(regexp_extract_all({O.all_parts('html', 'nav')},
                                             'href="([^"]*)"', 1)) AS href FROM pages)
 SELECT DISTINCT split_part(CASE WHEN strpos(href, '/') > 0 THEN substr(href, strpos(href, '/') + 1) ELSE href END,
                            '/', 1) AS author FROM x""")

@@ -31,7 +31,7 @@ WHERE text IS NOT NULL""")
 def j1_incremental_collect(spark, sf):
     base = _scratch(spark)
     schema = read_table(spark, sf, "pages").schema
-    S.incremental_collect(spark, sf, "pages.parquet", f"{base}/out", f"{base}/chk", schema)
+    S.incremental_collect(spark, sf, "pages.parquet", f"{base}/out", f"{base}/chk", schema, ("ad",))
     return spark.read.parquet(f"{base}/out")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package is planned for.  AQE re-plans joins from measured
@@ -78,10 +76,3 @@ def reuse(df: DataFrame) -> DataFrame:
     if not df.is_cached:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     return df
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CORPUS_COLUMNS = ["doc_id", "label", "text"]
 
@@ -28,9 +27,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 def _check_columns(cols: list[str]) -> None:
     if "text" not in cols:
-        raise ValueError("Input must have a 'text' column")
+        raise ValueError("no text column in the input")
     if "author" not in cols and "label" not in cols:
-        raise ValueError("Input must have a 'label' or 'author' column")
+        raise ValueError("neither an author nor a label column in the input")
 
 
 def as_corpus(df: DataFrame, label_col: str | None = None, id_col: str | None = None) -> DataFrame:
@@ -84,7 +83,13 @@ def load_corpus(spark: SparkSession, path: str, fmt: str = "csv",
     else:
         df = spark.read.format(fmt).load(path)
     _check_columns(df.columns)
-    return dedup_corpus(as_corpus(df))
+    # With an author only author and text count as the row; otherwise every column does.
+    # The id is a digest of those columns, so it does not depend on how files are cut.
+    keep = ["author", "text"] if "author" in df.columns else df.columns
+    rows = df.select(*keep).where(F.col("text").isNotNull()).distinct()
+    digest = F.md5(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in keep])))
+    return as_corpus(rows.withColumn("_content", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")),
+                     id_col="_content")
 
 
 def split_text_features(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,9 +119,3 @@ def listing_union(spark: SparkSession, sf_dir: str, listings=None) -> DataFrame:
             .select("event_id", "ts", F.col("user_id").alias("item_id"), "event_type",
                     (F.array_position(names, F.col("event_type")) - 1).cast("int").alias("priority")))
 
-
-CSV_CORPUS_SCHEMA = T.StructType([
-    T.StructField("author", T.StringType()),
-    T.StructField("item_id", T.StringType()),
-    T.StructField("text", T.StringType()),
-])

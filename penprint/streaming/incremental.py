@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penprint.functions import html as H
+from penprint.functions.html import NEWS_BOILERPLATE
 from penprint.operators.collect import valid_author  # noqa: F401  (re-exported for users)
 
 
@@ -29,7 +30,7 @@ def file_stream(spark: SparkSession, directory: str, pattern: str, schema, max_f
     return r.parquet(directory)
 
 
-def news_rows(pages: DataFrame, boilerplate=("ad",), host_marker: str = "://") -> DataFrame:
+def news_rows(pages: DataFrame, boilerplate=NEWS_BOILERPLATE, host_marker: str = "://") -> DataFrame:
     """Stateless J1 body: pages -> (author, article_url, text), rejected pages dropped."""
     p = pages.filter(~H.missing_page("html"))
     x = p.select(H.user_from_url("url", host_marker).alias("author"), F.col("url").alias("article_url"),
@@ -38,9 +39,9 @@ def news_rows(pages: DataFrame, boilerplate=("ad",), host_marker: str = "://") -
 
 
 def incremental_collect(spark: SparkSession, pages_dir: str, pattern: str, out_dir: str,
-                        checkpoint: str, schema) -> None:
+                        checkpoint: str, schema, boilerplate=NEWS_BOILERPLATE) -> None:
     """Append extracted rows of every page file not processed yet."""
-    q = (news_rows(file_stream(spark, pages_dir, pattern, schema))
+    q = (news_rows(file_stream(spark, pages_dir, pattern, schema), boilerplate)
          .writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
