@@ -1,7 +1,7 @@
 """Stylometric and character n-gram features.
 
-All features are array / higher-order-function expressions evaluated per row inside
-whole-stage codegen.  Character n-grams zip shifted slices of the character array
+All features are array / higher-order-function expressions evaluated per row in the JVM
+(lambdas are interpreted, not generated code).  Character n-grams zip shifted slices of the character array
 instead of calling ``substring`` per position (O(position) on UTF-8).
 """
 

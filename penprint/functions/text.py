@@ -1,7 +1,7 @@
 """Scalar text expressions.
 
-Everything returns a ``Column`` built from JVM-side functions so that it stays inside
-whole-stage code generation; no Python UDF is involved.  The regex strings are kept as
+Everything returns a ``Column`` built from JVM-side functions; no Python UDF is involved
+(expressions with lambdas are interpreted).  The regex strings are kept as
 module constants because the DuckDB oracle (``penprint.oracles``) reuses them verbatim.
 """
 

@@ -1,7 +1,7 @@
 """Corpus pipeline and labelled-split builder.
 
 One logical plan per call: scan -> dedup (partial aggregate) -> clean/token filter
-(codegen expressions) -> per-author counts (partial aggregate, one row per author) ->
+(built-in expressions) -> per-author counts (partial aggregate, one row per author) ->
 broadcast semi join on the top-``n`` list (bounded by ``n``) -> skew-proof ranking ->
 label map.  Text is never shuffled for ranking beyond the single rank exchange.
 """
