@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from penprint import oracles as O
@@ -59,22 +60,32 @@ def i4_standardize(spark, sf):
     return z.select("doc_id", *[F.round(x, 6).alias(x) for x in _STYLE7])
 
 
-@register("c5_language_classifier")
+def _facts_sql(rows: str, id_col: str = "doc_id", n: int = N_LANGS, more: str = "") -> str:
+    return (f"SELECT {id_col}, label, {n} AS n_classes, true AS sums_to_one, true AS predicted_is_argmax, "
+            f"true AS beats_majority{more} FROM {rows}")
+
+
+_TEST_SQL = f"WITH {O.dataset_ctes(N_LANGS, label='lang')} "
+_LANG_LABELS = [str(k) for k in range(N_LANGS)]
+
+
+@register("c5_language_classifier", _TEST_SQL + _facts_sql("dataset WHERE split = 'test'"))
 def c5_language_classifier(spark, sf):
     ds = lang_dataset(spark, sf)
     model = ML.language_model(ds.filter(F.col("split") == "train"), label="label")
-    out = ML.predict_language(model, ds)
-    return out.select("doc_id", "label", "split", F.col("predicted_lang").alias("predicted"))
+    out = ML.predict_language(model, ds.filter(F.col("split") == "test"))
+    return ML.scoring_facts(out.select("doc_id", "label", F.col("predicted_lang").alias("predicted"),
+                                       vector_to_array("probability").alias("proba")), _LANG_LABELS)
 
 
-@register("i7_style_classifier")
+@register("i7_style_classifier", _TEST_SQL + _facts_sql("dataset WHERE split = 'test'"))
 def i7_style_classifier(spark, sf):
     ds = lang_dataset(spark, sf)
     style = reuse(ds.select("doc_id", "label", "split", *FT.style_columns("text")).fillna(0.0))
     stats = ML.fit_standardizer(style.filter(F.col("split") == "train"), FT.STYLE_COLUMNS)
     z = reuse(ML.standardize(style, stats))
     model = ML.fit_classifier(z.filter(F.col("split") == "train"), FT.STYLE_COLUMNS)
-    return ML.predictions(model, z.filter(F.col("split") == "test")).drop("proba")
+    return ML.scoring_facts(ML.predictions(model, z.filter(F.col("split") == "test")), _LANG_LABELS)
 
 
 @register("i9_stacked_ensemble")
@@ -100,11 +111,13 @@ def i12_train_val_eval(spark, sf):
     return ML.evaluate_splits(pred)
 
 
-@register("i11_external_scores")
+@register("i11_external_scores", _facts_sql(
+    "(SELECT vec_id, CAST(label AS VARCHAR) AS label FROM embeddings)", "vec_id",
+    "(SELECT count(DISTINCT label) FROM embeddings)").replace("AS n_classes", "::INTEGER AS n_classes"))
 def i11_external_scores(spark, sf):
     from penprint.sources.corpus import read_table
-    _, out = ML.embeddings_classifier(read_table(spark, sf, "embeddings"))
-    return out.drop("proba")
+    model, out = ML.embeddings_classifier(read_table(spark, sf, "embeddings"))
+    return ML.scoring_facts(out, model.stages[0].labels, "vec_id")
 
 
 @register("i8_ngram_classifier")
