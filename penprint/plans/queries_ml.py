@@ -18,14 +18,15 @@ from penprint.functions import features as FT
 from penprint.operators import ml as ML
 from penprint.plans import dataset as D
 from penprint.plans.queries_core import _clean
-from penprint.session import checkpoint_dir, reuse
+from penprint.session import checkpoint_dir, cut_lineage, reuse
 
 N_LANGS = 4
 
 
 def lang_dataset(spark, sf):
     clean = reuse(D.corpus_pipeline(spark, sf, label="lang"))
-    return reuse(D.create_dataset(clean, N_LANGS))
+    # Cut here: the classifiers stack many persisted frames on this one.
+    return cut_lineage(D.create_dataset(clean, N_LANGS))
 
 
 def _fit_all(spark, sf):
