@@ -10,8 +10,10 @@ name is a secret; a run of digits, or a value beside a sample word, is none; oth
 left out).
 
 Scale: one pass extracts candidates and features, written once; the forest is fitted on at
-most ``FIT_FINDINGS`` labelled findings and the dictionary on ``DICT_DOCS`` documents (both
-smallest hash first, parameters); every finding is scored by the fitted Spark model.
+most ``FIT_FINDINGS`` labelled findings (smallest hash first, a parameter); every finding is
+scored by the fitted Spark model.  The dictionary counts the words of all documents, per
+language where the table has one, in an aggregate with map-side combine; its threshold is a
+share of the language's documents, so its size follows the vocabulary and not the corpus.
 
 Defined cases: null and empty texts have no candidates; a null path has no features; one
 class only among the labels, or no label, gives every finding that class's share; repeated
@@ -35,8 +37,7 @@ from pyspark.sql import functions as F
 from penprint.llm.common import map_arrow, written
 
 FIT_FINDINGS = 20_000
-DICT_DOCS = 2000
-DICT_WORDS = 5000
+DICT_SHARE = 0.0015        # occurrences a document of the language, and at least three
 TREES = 20
 DEPTH = 7
 _CANDIDATE = re.compile(r"(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}")
@@ -99,15 +100,16 @@ def rule_label(candidate: str, before: str, after: str) -> int | None:
     return None
 
 
-def dictionary_words(docs: DataFrame, id_col: str, text_col: str, docs_used: int = DICT_DOCS,
-                     most: int = DICT_WORDS) -> frozenset[str]:
-    """Words of 4 to 12 letters that recur in a bounded sample of documents."""
-    pick = (docs.select(F.col(id_col).alias("__fit_id")).where("__fit_id is not null")
-            .orderBy(F.xxhash64("__fit_id"), "__fit_id").limit(docs_used).distinct())
-    words = (docs.join(F.broadcast(pick), F.col(id_col) == F.col("__fit_id"))          # docs_used rows at most
-             .select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("w"))
-             .where(F.length("w").between(4, 12)).groupBy("w").count().where("count >= 3"))
-    return frozenset(r.w for r in words.orderBy(F.desc("count"), "w").limit(most).collect())
+def dictionary_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                     share: float = DICT_SHARE) -> frozenset[str]:
+    """Words of 4 to 12 letters that recur in the documents of a language (of the table, without that column)."""
+    rows = docs.select((F.col(lang_col) if lang_col in docs.columns else F.lit("")).cast("string").alias("lang"),
+                       F.col(text_col).alias("text"))
+    words = (rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
+             .where(F.length("w").between(4, 12)).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).withColumnRenamed("lang", "of")
+    kept = words.join(sizes, F.col("lang").eqNullSafe(F.col("of"))).where(F.col("n") >= F.greatest(F.lit(3.0), share * F.col("docs")))
+    return frozenset(r.w for r in kept.select("w").distinct().collect())
 
 
 def findings(docs: DataFrame, dictionary: frozenset[str], id_col: str = "doc_id", text_col: str = "text",
@@ -139,7 +141,7 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None, id_col: str =
 
     ``labels``: reviewed findings as doc_id, start, is_secret (0 or 1); without them the rule
     labels are used."""
-    found = written(findings(docs, dictionary_words(docs, id_col, text_col), id_col, text_col, path_col), "findings")
+    found = written(findings(docs, dictionary_words(docs, text_col), id_col, text_col, path_col), "findings")
     if labels is None:
         labelled = found.where("rule is not null").withColumn("label", F.col("rule").cast("double"))
     else:

@@ -237,6 +237,16 @@ def test_secret_forest_on_reviewed_findings(spark, odd):
     assert secret_scan.scan_secrets(odd.limit(0)).count() == 0
 
 
+def test_secret_dictionary_counts_every_document_and_language(spark):
+    # Half of the hashes are negative: 3,000 documents come before any of the rare language.
+    rare = (F.xxhash64("doc_id") > 0) & (F.col("doc_id") % 500 == 0)
+    docs = spark.range(6000).toDF("doc_id").select(
+        "doc_id", F.when(rare, "kitabu nyumba").otherwise(F.concat(F.lit("common words "), F.when(F.col("doc_id") % 2000 == 1, "seldom").otherwise(""))).alias("text"),
+        F.when(rare, "sw").otherwise("en").alias("lang"))
+    assert docs.where("lang = 'sw'").count() >= 3
+    assert secret_scan.dictionary_words(docs, text_col="text") == {"common", "words", "kitabu", "nyumba"}
+
+
 # ---- 7 ---------------------------------------------------------------------------------
 
 def components(pairs):
