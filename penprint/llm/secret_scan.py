@@ -1,6 +1,11 @@
 """Operator 6: secret scan with a random forest that removes false positives.
 
-Candidates are runs of key characters with a digit.  A forest judges each from its length,
+Candidates are runs of 16 or more key characters with a digit, and every value assigned to a
+credential name, whatever its length and characters: a quoted value is all between its
+quotes (three of them span lines), one without quotes ends at white space or before the next
+assignment of a list, less closing punctuation (of values nested in one another, the outermost
+and the innermost).  A run inside a longer value is a candidate of its own; equal spans are one.
+A forest judges each from its length,
 character transitions (how its character classes follow each other, their shares, entropy),
 dictionary coverage (share of it made of corpus words), the path of its document (depth,
 length, words of tests and samples) and its neighbouring words (credential names, sample
@@ -41,12 +46,41 @@ DICT_SHARE = 0.0015        # occurrences a document of the language, and at leas
 TREES = 20
 DEPTH = 7
 _CANDIDATE = re.compile(r"(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}")
+_ASSIGNED = re.compile(
+    r"(?:token|secret|key|passw|passphrase|pwd|auth|credential|bearer|private)[\w-]{0,64}[\"'`]?\]?[ \t]*"
+    r"(?::[ \t]*\w{1,40}[ \t]*(?==))?(?:=>|:=|={1,3}|:)"                      # a type may stand before the sign
+    r"(?:\s*(?:\"\"\"(?P<a>.*?)\"\"\"|'''(?P<b>.*?)'''|\"(?P<c>(?:\\.|[^\"\\\n])*)\"|'(?P<d>(?:\\.|[^'\\\n])*)'"
+    r"|`(?P<e>[^`\n]*)`)|[ \t]*[\"'`]?(?P<f>[^\s\"'`]))", re.I | re.S)
+_VALUE_END = re.compile(r"\s|[,;&](?=[\w-]{1,64}[=:])|\Z")
 _WORDS = re.compile(r"[^\W\d_]+")
 # Names of credentials, and words that mark samples.
 _CREDENTIAL = ("token", "secret", "key", "apikey", "password", "passwd", "pwd", "auth", "credential", "bearer", "private")
 _SAMPLE = ("example", "sample", "test", "dummy", "placeholder", "fake", "mock", "demo", "your")
 
 
+def candidates(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, assigned) of every candidate, in order; assigned: the value of a credential name."""
+    values: set[tuple[int, int]] = set()
+    at = run_end = 0
+    inner = None
+    while m := _ASSIGNED.search(text, at):
+        start, end = m.span(m.lastgroup)
+        at = m.end()
+        if m.lastgroup == "f":
+            at = start                          # the value may hold an assignment itself
+            if start >= run_end:
+                run_end, inner = _VALUE_END.search(text, start + 1).start(), None
+                kept = start + len(text[start:run_end].rstrip(",;.)]}>\"'`"))
+            else:                               # nested values end at one place, found once
+                values.discard(inner)
+                inner = start, kept
+            end = kept
+        if end > start:
+            values.add((start, end))
+    runs = {m.span() for m in _CANDIDATE.finditer(text)}
+    return [(*span, span in values) for span in sorted(runs | values)]
+
+
 def char_class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
@@ -65,7 +99,8 @@ def coverage(candidate: str, dictionary: frozenset[str]) -> float:
     return covered / len(low)
 
 
-def features(candidate: str, before: str, after: str, path: str, dictionary: frozenset[str]) -> list[float]:
+def features(candidate: str, before: str, after: str, path: str, dictionary: frozenset[str],
+             assigned: bool = False) -> list[float]:
     n = len(candidate)
     classes = [char_class(c) for c in candidate[:4096]]
     moves = Counter(zip(classes, classes[1:]))
@@ -83,9 +118,9 @@ def features(candidate: str, before: str, after: str, path: str, dictionary: fro
         coverage(candidate[:4096], dictionary), float(all(c in "0123456789abcdef" for c in candidate.lower())),
         float(low_path.count("/") + low_path.count(".")), float(len(path)), float(any(w in low_path for w in _SAMPLE)),
         float(any(w in _CREDENTIAL for w in words)), float(bool(words) and words[-1] in _CREDENTIAL),
-        float(any(w in _SAMPLE for w in words + follow)), float(near.endswith(("=", ":"))),
+        float(any(w in _SAMPLE for w in words + follow)), float(near.endswith(("=", ":", "=>"))),
         float(before[-1:] in "\"'`" and bool(before)), float(after[:1] in "\"'`" and bool(after)),
-        float(sum(len(w) for w in words) / max(1, len(words))),
+        float(sum(len(w) for w in words) / max(1, len(words))), float(assigned),
     ]
 
 
@@ -120,10 +155,10 @@ def findings(docs: DataFrame, dictionary: frozenset[str], id_col: str = "doc_id"
             out: list[tuple] = []
             for d, t, p in zip(batch.column(0), batch.column(1), batch.column(2)):
                 text, path = t.as_py(), p.as_py()
-                for m in _CANDIDATE.finditer(text):
-                    c, before, after = m[0], text[max(0, m.start() - 64):m.start()], text[m.end():m.end() + 64]
-                    out.append((d.as_py(), m.start(), len(c), hashlib.sha256(c.encode()).hexdigest(),
-                                features(c, before, after, path, dictionary), rule_label(c, before, after)))
+                for start, end, assigned in candidates(text):
+                    c, before, after = text[start:end], text[max(0, start - 64):start], text[end:end + 64]
+                    out.append((d.as_py(), start, len(c), hashlib.sha256(c.encode()).hexdigest(),
+                                features(c, before, after, path, dictionary, assigned), rule_label(c, before, after)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)],
                                              names=["doc_id", "start", "n_chars", "digest", "features", "rule"])

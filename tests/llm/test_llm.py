@@ -1,6 +1,7 @@
 """Training-data operators against brute force, libraries, DuckDB and held-out rows; each
 with nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+import hashlib
 import random
 import zlib
 
@@ -237,6 +238,21 @@ def test_secret_forest_on_reviewed_findings(spark, odd):
     assert secret_scan.scan_secrets(odd.limit(0)).count() == 0
 
 
+def test_secret_candidates_of_credential_names(spark):
+    cases = [('password = "hunter2!"', "hunter2!"), ("DB_PASSWD: 'correct horse battery staple'", "correct horse battery staple"),
+             ('{"pwd": "p@ss.w:rd$"}', "p@ss.w:rd$"), ("password: str = 'abc'", "abc"), ("export API_KEY=a.b:c@d!", "a.b:c@d!"),
+             ("Server=x;Password=s$cret;", "s$cret"), ("conf['token'] = \"a\\\"b\"", 'a\\"b'), ('secret = """two\nlines"""', "two\nlines"),
+             ("'password' => 'x.y'", "x.y"), ("key=one_token=two", "two"), ("passphrase := `open sesame`", "open sesame")]
+    for text, value in cases:
+        assert value in [text[a:b] for a, b, assigned in secret_scan.candidates(text) if assigned], text
+    assert not any(x[2] for t in ("", "key", 'key = ""', "no name = value", "key:") for x in secret_scan.candidates(t))
+    run = "0123456789abcdef" * 2
+    assert secret_scan.candidates(f"see {run}") == [(4, 36, False)]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {(r.doc_id, r.digest) for r in secret_scan.scan_secrets(df, path_col=None).collect()}
+    assert {(k, hashlib.sha256(v.encode()).hexdigest()) for k, (_, v) in enumerate(cases)} <= got
+
+
 def test_secret_dictionary_counts_every_document_and_language(spark):
     # Half of the hashes are negative: 3,000 documents come before any of the rare language.
     rare = (F.xxhash64("doc_id") > 0) & (F.col("doc_id") % 500 == 0)
