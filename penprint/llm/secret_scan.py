@@ -45,7 +45,8 @@ FIT_FINDINGS = 20_000
 DICT_SHARE = 0.0015        # occurrences a document of the language, and at least three
 TREES = 20
 DEPTH = 7
-_CANDIDATE = re.compile(r"(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{16,}")       # and a digit, tested on the run
+_DIGIT = re.compile("[0-9]")
 _ASSIGNED = re.compile(
     r"(?:token|secret|key|passw|passphrase|pwd|auth|credential|bearer|private)[\w-]{0,64}[\"'`]?\]?[ \t]*"
     r"(?::[ \t]*\w{1,40}[ \t]*(?==))?(?:=>|:=|={1,3}|:)"                      # a type may stand before the sign
@@ -77,7 +78,7 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
             end = kept
         if end > start:
             values.add((start, end))
-    runs = {m.span() for m in _CANDIDATE.finditer(text)}
+    runs = {m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0])}
     return [(*span, span in values) for span in sorted(runs | values)]
 
 
@@ -102,7 +103,7 @@ def coverage(candidate: str, dictionary: frozenset[str]) -> float:
 def features(candidate: str, before: str, after: str, path: str, dictionary: frozenset[str],
              assigned: bool = False) -> list[float]:
     n = len(candidate)
-    classes = [char_class(c) for c in candidate[:4096]]
+    classes = [char_class(c) for c in candidate]
     moves = Counter(zip(classes, classes[1:]))
     share = Counter(classes)
     steps = max(1, len(classes) - 1)
@@ -115,7 +116,7 @@ def features(candidate: str, before: str, after: str, path: str, dictionary: fro
         float(n), math.log(n), -sum(c / n * math.log2(c / n) for c in counts.values()), len(counts) / n,
         *(share[k] / len(classes) for k in range(4)),
         *(moves[a, b] / steps for a in range(4) for b in range(4)),
-        coverage(candidate[:4096], dictionary), float(all(c in "0123456789abcdef" for c in candidate.lower())),
+        coverage(candidate, dictionary), float(all(c in "0123456789abcdef" for c in candidate.lower())),
         float(low_path.count("/") + low_path.count(".")), float(len(path)), float(any(w in low_path for w in _SAMPLE)),
         float(any(w in _CREDENTIAL for w in words)), float(bool(words) and words[-1] in _CREDENTIAL),
         float(any(w in _SAMPLE for w in words + follow)), float(near.endswith(("=", ":", "=>"))),

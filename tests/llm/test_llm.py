@@ -3,6 +3,7 @@ with nulls, empty and long texts, repeated rows, empty tables and clashing colum
 
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -263,6 +264,16 @@ def test_secret_dictionary_counts_every_document_and_language(spark):
     assert secret_scan.dictionary_words(docs, text_col="text") == {"common", "words", "kitabu", "nyumba"}
 
 
+def test_secret_features_of_whole_candidates_in_linear_time():
+    a, b = ("x1" * 2048 + tail * 2048 for tail in ("word", "9F+/"))
+    fa, fb = (secret_scan.features(c, "", "", "", frozenset({"word"})) for c in (a, b))
+    assert fa[4:8] == [10240 / 12288, 0.0, 2048 / 12288, 0.0] and fa[4:25] != fb[4:25] and fa[24] == 8192 / 12288
+    begin = time.process_time()
+    assert secret_scan.candidates("a" * 300_000) == []
+    assert len(secret_scan.candidates("key=" * 50_000)) == 2
+    assert time.process_time() - begin < 20
+
+
 # ---- 7 ---------------------------------------------------------------------------------
 
 def components(pairs):
