@@ -1,12 +1,12 @@
 """Operator 3: benchmark decontamination by SimHash windows.
 
-Documents are compared with every benchmark item through windows of the item's size.  Items
-are grouped into size classes a ratio of ``CLASS_RATIO`` apart; a class's windows start on a
-grid of an ``1/STRIDE`` of its size (and at a document's ends), so every passage has a window
-that nearly coincides with it.  A window's SimHash is read off running bit counts of its
-five-word shingles.  Multi-index Hamming blocks find the items: fingerprints within
-``radius`` bits agree within ``radius // BLOCKS`` bits in one of the blocks, and each item
-is listed under every block value that near, so all pairs within the radius are found.
+Documents are compared with every benchmark item through windows of the item's own size, one
+class of items for each distinct size, at every start that can match: a window reaches the
+similarity only if enough of its five-word shingles occur in the benchmark at all, which
+running counts tell, and one that begins with an unknown shingle is no better than the next
+that does not.  The SimHash of a window left over is read off running bit counts and compared
+with those of the items of its size.  A bit differs with a chance of at most about 0.15 at a
+similarity of 0.8, so ``radius`` (of 64) lies five standard deviations above the mean there.
 Candidates are verified exactly: the weighted (multiset) Jaccard similarity of the item's
 shingles and those of an item-sized window, over every start around the candidate, must
 reach ``similarity``.
@@ -24,7 +24,6 @@ matches nothing; words are lower-cased runs of letters and digits.
 from __future__ import annotations
 
 import re
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +34,7 @@ from penprint.llm.common import ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
-BLOCKS = 4                # of 16 bits
-CLASS_RATIO = 1.3
-STRIDE = 8
+RADIUS = 24
 CHUNK = 16_384
 SEGMENT = 50_000
 ITEM_BLOCK = 1000
@@ -82,34 +78,21 @@ def majority(ones: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class SizeClass:
-    """Items of nearly one size: their fingerprints and multi-index block tables."""
-
-    def __init__(self, size: int, items: list[int], sizes: np.ndarray, fps: np.ndarray, radius: int):
-        self.size, self.stride = size, max(1, size // STRIDE)
-        self.items, self.fps, self.radius = np.array(items), fps[items], radius
-        self.reach = self.stride + int(np.abs(sizes[items] - size).max())
-        flips = np.array([sum(1 << b for b in c) for r in range(radius // BLOCKS + 1)
-                          for c in combinations(range(16), r)], np.int64)
-        self.tables = []
-        for b in range(BLOCKS):
-            near = ((self.fps >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)[:, None] ^ flips[None, :]
-            order = np.argsort(near.ravel(), kind="stable")
-            starts = np.searchsorted(near.ravel()[order], np.arange(65_537))
-            self.tables.append((starts.astype(np.int32), (order // len(flips)).astype(np.int32)))
+    """Items of one size and their fingerprints."""
+
+    def __init__(self, size: int, items: np.ndarray, fps: np.ndarray, radius: int, similarity: float):
+        self.size, self.items, self.fps, self.radius, self.similarity = size, items, fps[items], radius, similarity
+        # Unknown shingles that a matching window can begin with.
+        self.reach = size - int(np.ceil(similarity * size - 1e-9))
+
+    def least_known(self, n: np.ndarray) -> np.ndarray:
+        """Common shingles that a window of n shingles needs to reach the similarity."""
+        return np.ceil(self.similarity * (self.size + n) / (1 + self.similarity) - 1e-9)
 
     def candidates(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, local item) pairs at most ``radius`` bits apart, each once."""
-        found = []
-        for b, (starts, listed) in enumerate(self.tables):
-            value = ((fps >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            first, count = starts[value], starts[value + 1] - starts[value]
-            w = np.repeat(np.arange(len(fps)), count)
-            at = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
-            item = listed[np.repeat(first, count) + at]
-            ok = np.bitwise_count(fps[w] ^ self.fps[item]) <= self.radius
-            found.append(w[ok] * len(self.items) + item[ok])
-        both = np.unique(np.concatenate(found))
-        return both // len(self.items), both % len(self.items)
+        """(window, local item) pairs at most ``radius`` bits apart."""
+        found = [np.flatnonzero(np.bitwise_count(fps ^ f) <= self.radius) for f in self.fps]
+        return np.concatenate(found), np.repeat(np.arange(len(found)), [len(w) for w in found])
 
 
 class ItemIndex:
@@ -123,11 +106,7 @@ class ItemIndex:
         self.counts = [dict(zip(*(x.tolist() for x in np.unique(s, return_counts=True)))) for s in self.shingles]
         sizes = np.array([len(s) for s in self.shingles])
         fps = np.concatenate([majority(running_bits(s, len(s))[-1:], np.array([len(s)])) for s in self.shingles])
-        step = np.round(np.log(sizes) / np.log(CLASS_RATIO)).astype(int)
-        self.classes = []
-        for c in np.unique(step):
-            members = np.flatnonzero(step == c)
-            self.classes.append(SizeClass(int(round(np.median(sizes[members]))), members.tolist(), sizes, fps, radius))
+        self.classes = [SizeClass(int(c), np.flatnonzero(sizes == c), fps, radius, similarity) for c in np.unique(sizes)]
         self.known = np.unique(np.concatenate(self.shingles))
         self.overlap = int(sizes.max()) * 2 + k
 
@@ -143,34 +122,33 @@ class ItemIndex:
         begins = ends - sizes
         owner = np.repeat(np.arange(len(docs)), sizes)
         left = ends[owner] - np.arange(len(h))              # shingles up to the document's end
-        ones = running_bits(h, max(c.size for c in self.classes))
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        hits = np.concatenate([[0], np.cumsum(self.known[at] == h)])
+        known = self.known[at] == h
+        hits = np.concatenate([[0], np.cumsum(known)])
+        begin = np.flatnonzero(known)
+        ones = None
         for c in self.classes:
-            at = np.zeros(len(h), bool)
-            at[::c.stride] = True
-            at &= left >= c.size
-            long = sizes >= self.similarity * (c.size - c.reach)
-            long &= sizes > 0
-            at[begins[long]] = True
-            at[np.maximum(begins, ends - c.size)[long]] = True
-            start = np.flatnonzero(at)
-            stop = start + np.minimum(left[start], c.size)
+            n = np.minimum(left[begin], c.size)
+            able = hits[begin + n] - hits[begin] >= c.least_known(n)
+            start, n = begin[able], n[able]
             if not len(start):
                 continue
-            w, item = c.candidates(majority(ones[stop] - ones[start], stop - start))
-            if not len(w):
-                continue
-            # No window around the candidate can reach the similarity with fewer known shingles.
-            d = owner[start[w]]
-            low, high = np.maximum(start[w] - c.reach, begins[d]), np.minimum(stop[w] + 2 * c.reach, ends[d])
-            m = np.array([len(self.shingles[i]) for i in c.items])[item]
-            able = hits[high] - hits[low] >= np.ceil(m * self.similarity / (1 + self.similarity))
-            for d_, i_, a, b in sorted({(int(x), int(c.items[y]), int(a), int(b))
-                                        for x, y, a, b in zip(d[able], item[able], low[able], high[able])}):
-                best = self._best(h, i_, a, b, int(ends[d_]))
-                if best and (i_ not in out[d_] or (-best[0], best[1] - begins[d_]) < (-out[d_][i_][0], out[d_][i_][1])):
-                    out[d_][i_] = best[0], int(best[1] - begins[d_])
+            if ones is None:
+                ones = running_bits(h, max(c.size for c in self.classes))
+            w, item = c.candidates(majority(ones[start + n] - ones[start], n))
+            spans: dict[tuple[int, int], list[list[int]]] = {}
+            for x, i in zip(start[w].tolist(), c.items[item].tolist()):
+                d = int(owner[x])
+                low, of = max(x - c.reach, int(begins[d])), spans.setdefault((d, i), [])
+                if of and low <= of[-1][1]:         # starts ascend within an item
+                    of[-1][1] = x + 1
+                else:
+                    of.append([low, x + 1])
+            for (d, i), ranges in spans.items():
+                for low, high in ranges:
+                    best = self._best(h, i, low, high, int(ends[d]))
+                    if best and (i not in out[d] or (-best[0], best[1] - begins[d]) < (-out[d][i][0], out[d][i][1])):
+                        out[d][i] = best[0], int(best[1] - begins[d])
         return out
 
     def _best(self, h: np.ndarray, item: int, low: int, high: int, end: int) -> tuple[float, int] | None:

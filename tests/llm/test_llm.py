@@ -169,6 +169,25 @@ def test_decontamination_short_items_long_texts(spark):
     assert got == {(1, 1, 120_000), (1, None, 150_002), (4, 1, 0)}
 
 
+def test_decontamination_misses_no_brute_force_match():
+    rnd = random.Random(33)
+    vocab = [f"w{k}" for k in range(5000)]
+    items = [(k, " ".join(rnd.choices(vocab, k=n + 4))) for k, n in enumerate((9, 23, 60, 88, 100, 100, 114, 125, 160, 200, 210))]
+    index, = decontaminate.build_indexes(items, decontaminate.RADIUS, decontaminate.SIMILARITY)
+    texts, want = [], []
+    for k in range(1500):
+        words = items[k % len(items)][1].split()
+        for _ in range(1 + k % 5):                                   # replaced, lost and added words
+            at = rnd.randrange(len(words))
+            words[at:at + rnd.choice((1, 1, 0))] = rnd.choice(([rnd.choice(vocab)], [rnd.choice(vocab)], []))
+        texts.append(" ".join(rnd.choices(vocab, k=rnd.randrange(90)) + words + rnd.choices(vocab, k=rnd.randrange(90))))
+        h = decontaminate.shingle_hashes(decontaminate.word_hashes(texts[-1]), 5)
+        best = [(i, index._best(h, i, 0, len(h), len(h))) for i in range(len(items))]
+        want.append({(i, b[1], b[0]) for i, b in best if b})
+    got = [{(m["item_id"], m["start_word"], m["similarity"]) for m in x} for x in decontaminate.find_matches([index], texts)]
+    assert got == want and sum(map(len, want)) > 700 and sum(b[2] < 0.85 for x in want for b in x) > 100
+
+
 # ---- 4 ---------------------------------------------------------------------------------
 
 def test_expectation_maximisation_recovers_labels():
