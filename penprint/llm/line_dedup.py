@@ -15,7 +15,8 @@ Scale: line text is not shuffled.  First occurrences are aggregates over two 64-
 with map-side combine, so a line repeated everywhere is one row a task.  Keys travel as
 hashes with a signature of letter counts: an edit changes them by two at most, so the join
 drops pairs more than ``2 * edits`` apart before it makes a row, and a group of lines that
-share a segment does not yield its pairs.  Text is fetched for candidate lines only, by a
+share a segment does not yield its pairs.  Each side of the join makes its keys from distinct
+lines, which meet by hash before their keys are rows; no table of keys is written.  Text is fetched for candidate lines only, by a
 join that broadcasts their hashes up to ``BROADCAST_ROWS`` and shuffles beyond.  Each
 document's dropped line numbers join back to it by a hash join built on that narrower side.
 
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 
 from penprint.llm.common import written
 
-EDITS = 1
+EDITS = 2
 LEAST = 24
 LINE_BREAK = "\n"
 LETTERS = "etanio"         # any ASCII letters are right; frequent ones tell lines apart
+SAME_LENGTH = 1 << 24      # beside the letter counts of a probe
 BROADCAST_ROWS = 200_000   # of at most 40 bytes
 
 
@@ -51,14 +53,14 @@ def _key(line: Column, length: Column, i: int, start: Column, n: Column) -> Colu
     return F.xxhash64(length, F.lit(i), F.substr(line, (start + 1).cast("int"), n.cast("int")))
 
 
-def line_keys(line: Column, length: Column, edits: int, least: int) -> Column:
-    """(key, shorter) of a line's own segments, with shorter -1, and of its substrings that
-    may equal a segment of a line ``shorter`` characters shorter; the key is null where a
-    substring would leave the line.  Only shifts that leave at most i edits before segment i
-    and the rest after it are needed."""
+def line_keys(line: Column, length: Column, edits: int, least: int) -> tuple[list[Column], list[tuple[Column, int]]]:
+    """Keys of a line's own segments, and (key, shorter) of its substrings that may equal a
+    segment of a line ``shorter`` characters shorter; a key is null where a substring would
+    leave the line.  Only shifts that leave at most i edits before segment i and the rest
+    after it are needed."""
     k = edits + 1
-    keys = [F.struct(_key(line, length, i, *segment(length, k, i)).alias("key"), F.lit(-1).alias("shorter"))
-            for i in range(k)]
+    own = [_key(line, length, i, *segment(length, k, i)) for i in range(k)]
+    probes = []
     for shorter in range(edits + 1):
         other = length - shorter
         for i in range(k):
@@ -66,8 +68,8 @@ def line_keys(line: Column, length: Column, edits: int, least: int) -> Column:
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 at = start + shift
                 fits = (other >= least) & (at >= 0) & (at + n <= length)
-                keys.append(F.struct(F.when(fits, _key(line, other, i, at, n)).alias("key"), F.lit(shorter).alias("shorter")))
-    return F.array(*keys)
+                probes.append((F.when(fits, _key(line, other, i, at, n)), shorter))
+    return own, probes
 
 
 def letter_counts(line: Column) -> Column:
@@ -155,16 +157,21 @@ def candidate_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(i1, p1): first hashes of line pairs that share a segment key and nearly their letters."""
     line, length = F.col("line"), F.col("length")
     rows = lines.select("h1", "line", F.length("line").alias("length")).where(length >= least)
-    keys = (rows.select("h1", letter_counts(line).alias("sig"), F.explode(line_keys(line, length, edits, least)).alias("k"))
-            .select("k.key", "k.shorter", "h1", "sig").where("key is not null"))
-    keys = written(keys, "line-keys")                        # read as both sides of the join
-    # Aggregates, so that copies of a line are one row a task.
-    index = (keys.where("shorter = -1").groupBy("key", F.col("h1").alias("i1"), F.col("sig").alias("isig")).agg(F.lit(1))
-             .select("key", "i1", "isig"))
-    probe = (keys.where("shorter >= 0").groupBy("key", "shorter", F.col("h1").alias("p1"), F.col("sig").alias("psig"))
-             .agg(F.lit(1)).select("key", "shorter", "p1", "psig"))
+    own, probes = line_keys(line, length, edits, least)
+
+    def side(keys: list[tuple[Column, int]]) -> DataFrame:
+        # Distinct lines before the explode: copies of a line are one row a task.
+        one = (rows.select("h1", letter_counts(line).alias("sig"), *[k.alias(f"k{n}") for n, (k, _) in enumerate(keys)])
+               .groupBy("h1").agg(F.first("sig").alias("sig"), *[F.first(f"k{n}").alias(f"k{n}") for n in range(len(keys))]))
+        key = F.explode(F.array(*[F.struct(F.col(f"k{n}").alias("key"), F.lit(flag).alias("flag")) for n, (_, flag) in enumerate(keys)]))
+        return (one.select("h1", "sig", key.alias("k")).where("k.key is not null")
+                .select("k.key", "h1", F.col("sig").bitwiseOR(F.col("k.flag")).alias("sig")))
+
+    index = side([(k, 0) for k in own]).toDF("key", "i1", "isig")
+    probe = side([(k, 0 if shorter else SAME_LENGTH) for k, shorter in probes]).toDF("key", "p1", "psig")
     close = letter_distance(F.col("isig"), F.col("psig")) <= 2 * edits
-    ordered = F.when(F.col("shorter") == 0, F.col("i1") < F.col("p1")).otherwise(F.col("i1") != F.col("p1"))
+    same = F.col("psig").bitwiseAND(F.lit(SAME_LENGTH)) != 0
+    ordered = F.when(same, F.col("i1") < F.col("p1")).otherwise(F.col("i1") != F.col("p1"))
     return index.join(probe, (index.key == probe.key) & close & ordered).select("i1", "p1").distinct()
 
 

@@ -65,7 +65,7 @@ def op10(spark, sf_dir):
 
 @register("op9_line_dedup", line_dedup.ORACLE)
 def op9(spark, sf_dir):
-    """Documents without lines that occur earlier, equal or within an edit."""
+    """Documents without lines that occur earlier, equal or within two edits."""
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 

@@ -429,6 +429,14 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_drops_two_edits(spark):
+    base = "The meter on platform 17 showed a steady value."
+    near = [base.replace("17", "42"), base.replace("meter", "metre"), base.replace("showed a", "shows the"), base + " Never before."]
+    df = spark.createDataFrame([(0, base)] + [(k + 1, x) for k, x in enumerate(near)], "doc_id long, text string")
+    got = {r.doc_id: r.lines_near for r in line_dedup.line_digests(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0}
+
+
 # ---- 10 --------------------------------------------------------------------------------
 
 def test_permutation_index(spark):
