@@ -127,3 +127,34 @@ def i8_ngram_classifier(spark, sf):
     ens = ML.Ensemble()
     ens.fit_base(ds)
     return ens.ngram_predictions(ds.filter(F.col("split") == "test")).drop("proba")
+
+
+def _language_predictions(ds):
+    model = ML.language_model(ds.filter(F.col("split") == "train"), label="label")
+    return ML.predict_language(model, ds).select("doc_id", "label", "split", F.col("predicted_lang").alias("predicted"),
+                                                 vector_to_array("probability").alias("proba"))
+
+
+@register("c5_language_predictions")
+def c5_language_predictions(spark, sf):
+    """Predicted language and probabilities of every row of the dataset; ``c5`` states facts of the test rows."""
+    return _language_predictions(lang_dataset(spark, sf))
+
+
+@register("i7_style_predictions")
+def i7_style_predictions(spark, sf):
+    """Predicted label and probabilities of the rows that ``i7_style_classifier`` states facts of."""
+    ds = lang_dataset(spark, sf)
+    style = reuse(ds.select("doc_id", "label", "split", *FT.style_columns("text")).fillna(0.0))
+    stats = ML.fit_standardizer(style.filter(F.col("split") == "train"), FT.STYLE_COLUMNS)
+    z = reuse(ML.standardize(style, stats))
+    model = ML.fit_classifier(z.filter(F.col("split") == "train"), FT.STYLE_COLUMNS)
+    return ML.predictions(model, z.filter(F.col("split") == "test"))
+
+
+@register("i11_score_vectors")
+def i11_score_vectors(spark, sf):
+    """Predicted label and score vector of every row of ``embeddings``."""
+    from penprint.sources.corpus import read_table
+    _, out = ML.embeddings_classifier(read_table(spark, sf, "embeddings"))
+    return out

@@ -121,3 +121,24 @@ def test_every_container_and_section_is_read(spark):
     r = spark.createDataFrame([(page,)], "h string").select(
         H.paragraphs(H.main_container("h")).alias("p"), H.html_links("h").alias("l"), H.last_page_label("h").alias("n")).first()
     assert r.p == ["First.", "Second."] and r.l == ["/a", "/b", "/c"] and r.n == "2"
+
+
+def test_classifier_queries_return_predictions_and_probabilities(spark):
+    from penprint.catalog import load_all
+    from penprint.plans.queries_ml import lang_dataset
+    from penprint.sources.corpus import read_table
+    sf = "/root/testdata/sf0.001"
+    ds = lang_dataset(spark, sf).select("doc_id", "split").collect()
+    every = {"c5_language_predictions": sorted(r.doc_id for r in ds),
+             "i7_style_predictions": sorted(r.doc_id for r in ds if r.split == "test"),
+             "i11_score_vectors": sorted(r.vec_id for r in read_table(spark, sf, "embeddings").select("vec_id").collect())}
+    for name, ids in every.items():
+        rows = load_all()[name][0](spark, sf).collect()
+        assert sorted(r[0] for r in rows) == ids
+        best = {}
+        for r in rows:
+            assert abs(sum(r.proba) - 1) < 1e-9
+            best.setdefault(max(range(len(r.proba)), key=r.proba.__getitem__), set()).add(r.predicted)
+        assert all(len(x) == 1 for x in best.values())
+        hits = sum(r.label == r.predicted for r in rows)
+        assert hits > max(sum(r.label == k for r in rows) for k in {r.label for r in rows}) or name == "i7_style_predictions"
