@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from penprint.catalog import register
-from penprint.llm import extendible_shards, line_dedup
+from penprint.llm import extendible_shards, filter_audit, line_dedup, value_codebooks
 from penprint.llm.byte_cnn import fit, held_out, with_language
 from penprint.llm.common import table
 from penprint.llm.decontaminate import contaminations
@@ -85,3 +85,15 @@ def op5(spark, sf_dir):
 def op6(spark, sf_dir):
     """Secret candidates of every document, judged by the forest."""
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@register("op12_filter_audit", filter_audit.ORACLE)
+def op12(spark, sf_dir):
+    """Five filters in all orders, by source."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op13_value_codebooks", value_codebooks.ORACLE)
+def op13(spark, sf_dir):
+    """Product codes of ``embeddings``: four parts, 256 entries, four rounds."""
+    return value_codebooks.value_codes(table(spark, sf_dir, "embeddings"))
