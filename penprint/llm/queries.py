@@ -9,6 +9,7 @@ from penprint.llm import extendible_shards, filter_audit, line_dedup, value_code
 from penprint.llm.byte_cnn import fit, held_out, with_language
 from penprint.llm.common import table
 from penprint.llm.decontaminate import contaminations
+from penprint.llm.nn_descent import near_duplicates
 from penprint.llm.permutation_index import search
 from penprint.llm.piece_offsets import piece_digests
 from penprint.llm.secret_scan import scan_secrets
@@ -87,6 +88,12 @@ def op6(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+@register("op11_nn_descent")
+def op11(spark, sf_dir):
+    """Links and components of ``embeddings`` at a cosine of 0.95."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @register("op12_filter_audit", filter_audit.ORACLE)
 def op12(spark, sf_dir):
     """Five filters in all orders, by source."""
