@@ -30,6 +30,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +43,18 @@ from penprint.llm.components import connected_components
 THRESHOLD = 0.95
 LIST = 12                 # neighbours of a list at first
 LARGEST_LIST = 48         # a saturated list doubles up to this; the component pass counts the rest
-ORDERS = 6
+ORDERS = 8
 BITS = 48
 WINDOW = 128              # vectors compared with each other in an order; windows overlap by half
 OFFERS = 4                # best of a window offered to a vector's list
 GROUP = 64
 ROUNDS = 4
-SETTLED = 0.02            # share of new list entries below which descent stops
+SETTLED = 0.02            # share of new ones among the entries that link, at which descent stops
 AUDIT = 2000
 RECALL = 0.98
 PASSES = 6
 SLACK = 0.0015
 BLOCK = 256
-SMALL_ROWS = 200_000      # of at most 16 bytes: the bound of a broadcast
 _MET = "a bigint, b bigint, sim float, kind byte"
 _ENTRY, _CERTAIN, _UNSURE = 0, 1, 2
 
@@ -210,33 +210,30 @@ def in_orders(units: DataFrame, sample: np.ndarray, first: int, threshold: float
     return map_arrow(dealt, windows, _MET)
 
 
-def keep_best(entries: DataFrame, grown: DataFrame, largest: int) -> DataFrame:
-    """The lists (a, b, sim, old): each node's best entries, at most ``LIST`` or what it has grown to."""
-    one = (entries.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("old").alias("old")))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    one = one.withColumn("rank", rank).where(F.col("rank") <= largest)
-    if largest > LIST:
-        one = one.join(_small(grown), F.col("a") == F.col("node"), "left").where(F.col("rank") <= F.coalesce("size", F.lit(LIST)))
-    return written(one.select("a", "b", "sim", "old"), "descent-lists")
+def keep_best(entries: DataFrame, threshold: float) -> DataFrame:
+    """The lists (a, b, sim, old, size, least) of entries (a, b, sim, old, size): a node's best
+    ``size`` (null: ``LIST``); then its size for the next round, doubled if all of them link,
+    and the similarity that a new entry must exceed, -2 while the list has room."""
+    one = entries.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("old").alias("old"), F.max("size").alias("size"))
+    node = Window.partitionBy("a")
+    one = (one.withColumns({"rank": F.row_number().over(node.orderBy(F.desc("sim"), "b")), "size": F.coalesce(F.max("size").over(node), F.lit(LIST))})
+           .where(F.col("rank") <= F.col("size")))
+    last = F.max(F.when(F.col("rank") == F.col("size"), F.col("sim"))).over(node)
+    return written(one.withColumn("least", F.coalesce(last, F.lit(-2.0).cast("float")))
+                   .withColumn("size", F.when(F.col("least") >= threshold, F.least(F.col("size") * 2, F.lit(LARGEST_LIST))).otherwise(F.col("size")))
+                   .select("a", "b", "sim", "old", "size", "least"), "descent-lists")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, broadcast only if it has at most ``SMALL_ROWS`` rows."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
-def descend(units: DataFrame, lists: DataFrame, grown: DataFrame, turn: int, threshold: float) -> DataFrame:
+def descend(units: DataFrame, lists: DataFrame, turn: int, threshold: float) -> DataFrame:
     """What one round meets (``_MET``): the pairs of neighbours of each node."""
-    state = (lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
-             .join(_small(grown), F.col("a") == F.col("node"), "left")
-             .select(F.col("a").alias("w"), F.when(F.col("n") >= F.coalesce("size", F.lit(LIST)), F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("least")))
+    state = lists.groupBy("a").agg(F.max("least").alias("least")).withColumnRenamed("a", "w")
     fresh = ~F.col("old")
     shown = (lists.select(F.col("a").alias("c"), F.col("b").alias("w"), fresh.alias("fresh"))
              .union(lists.select(F.col("b").alias("c"), F.col("a").alias("w"), fresh.alias("fresh"))))
-    hubs = written(shown.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
-                   .select(F.col("c").alias("hub"), F.ceil(F.col("n") / GROUP).cast("int").alias("groups")), "descent-hubs")
+    hubs = (shown.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+            .select(F.col("c").alias("hub"), F.ceil(F.col("n") / GROUP).cast("int").alias("groups")))
     group = F.pmod(F.xxhash64("w", F.lit(turn)), F.coalesce("groups", F.lit(1))).cast("int")
-    shown = shown.join(_small(hubs), F.col("c") == F.col("hub"), "left").select("c", group.alias("g"), "w", "fresh")
+    shown = shown.join(hubs, F.col("c") == F.col("hub"), "left").select("c", group.alias("g"), "w", "fresh")
     vectors = units.join(state, F.col("node") == F.col("w"), "left").select("node", "u", F.coalesce("least", F.lit(-2.0).cast("float")).alias("least"))
     rows = (shown.join(vectors, F.col("w") == F.col("node")).select("c", "g", "w", "fresh", "least", "u")
             .repartition("c", "g").sortWithinPartitions("c", "g"))
@@ -379,36 +376,27 @@ def component_links(nodes: DataFrame, members: DataFrame, threshold: float) -> D
 
 def link_components(nodes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame | None:
     """(node, root) of every node in a component of two or more, or None if there is no link."""
-    spark = nodes.sparkSession
     units = half_units(nodes)
     sample = written(nodes.select("node", "v").orderBy(F.xxhash64("node", F.lit(3)), "node").limit(AUDIT), "descent-sample")
     got = sample.collect()
     if len(got) < 2:
         return None
     middle = unit(np.array([r.v for r in got]))
-    grown = spark.createDataFrame([], "node bigint, size int")
-    lists = links = members = None
+    lists = members = None
+    mets: list[DataFrame] = []
     for turn in range(PASSES):
         met = written(in_orders(units, middle, turn * ORDERS, threshold), "descent-met")
         for step in range(ROUNDS + 1):
-            found = sure_links(met, nodes, threshold)
-            links = found if links is None else links.union(found)
-            entries = met.where(F.col("kind") == _ENTRY).select("a", "b", "sim", F.lit(False).alias("old"))
+            mets.append(met)
+            entries = met.where(F.col("kind") == _ENTRY).select("a", "b", "sim", F.lit(False).alias("old"), F.lit(None).cast("int").alias("size"))
             if lists is not None:
-                entries = entries.union(lists.select("a", "b", "sim", F.lit(True).alias("old")))
-            largest = min(LIST << (turn * ROUNDS + step), LARGEST_LIST)
-            lists = keep_best(entries, grown, largest)
-            if step == ROUNDS:
-                break
-            n, new = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum((~F.col("old")).cast("long")), F.lit(0))).first()
-            if new <= SETTLED * n:
+                entries = entries.union(lists.select("a", "b", "sim", F.lit(True).alias("old"), "size"))
+            lists = keep_best(entries, threshold)
+            n, new = lists.where(F.col("sim") >= threshold).agg(F.count(F.lit(1)), F.coalesce(F.sum((~F.col("old")).cast("long")), F.lit(0))).first()
+            if step == ROUNDS or step and new <= SETTLED * n:
                 break
-            full = lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low")).where(F.col("low") >= threshold)
-            bigger = (full.join(_small(grown), F.col("a") == F.col("node"), "left").where(F.col("n") >= F.coalesce("size", F.lit(LIST)))
-                      .select(F.col("a").alias("node"), F.least(F.coalesce("size", F.lit(LIST)) * 2, F.lit(LARGEST_LIST)).alias("size")))
-            met = written(descend(units, lists, grown, turn * ROUNDS + step, threshold), "descent-met")
-            grown = written(grown.join(bigger, "node", "left_anti").union(bigger), "descent-grown")
-        members = connected_components(links)
+            met = written(descend(units, lists, turn * ROUNDS + step, threshold), "descent-met")
+        members = connected_components(sure_links(reduce(DataFrame.union, mets), nodes, threshold))
         if audited_recall(nodes, members, sample, threshold) >= recall:
             break
     return members

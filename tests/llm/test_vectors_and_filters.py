@@ -95,22 +95,24 @@ def test_descent_finds_what_the_first_windows_miss(spark):
     sim = u @ u.T
     np.fill_diagonal(sim, -2)
     true = {(ids[k], ids[j]) for k in range(len(ids)) for j in np.argsort(-sim[k])[:6]}
-    none = spark.createDataFrame([], "node bigint, size int")
 
     def listed(lists):
         return len(true & {(r.a, r.b) for r in lists.collect()}) / len(true)
 
-    met = nn_descent.in_orders(units, u, 0, 0.95, orders=3)
-    first = nn_descent.keep_best(met.where("kind = 0").select("a", "b", "sim", F.lit(False).alias("old")), none, nn_descent.LIST)
-    met = nn_descent.descend(units, first, none, 0, 0.95)
-    second = nn_descent.keep_best(met.where("kind = 0").select("a", "b", "sim", F.lit(False).alias("old"))
-                                  .union(first.select("a", "b", "sim", F.lit(True).alias("old"))), none, nn_descent.LIST)
+    def entries(met, lists=None):
+        out = met.where("kind = 0").select("a", "b", "sim", F.lit(False).alias("old"), F.lit(None).cast("int").alias("size"))
+        return out if lists is None else out.union(lists.select("a", "b", "sim", F.lit(True).alias("old"), "size"))
+
+    first = nn_descent.keep_best(entries(nn_descent.in_orders(units, u, 0, 0.95, orders=3)), 0.95)
+    met = nn_descent.written(nn_descent.descend(units, first, 0, 0.95), "met")
+    second = nn_descent.keep_best(entries(met, first), 0.95)
     assert 1 - listed(second) < 0.6 * (1 - listed(first))
-    grown = spark.createDataFrame([(int(ids[0]), 24)], "node bigint, size int")
-    wide = nn_descent.keep_best(met.where("kind = 0").select("a", "b", "sim", F.lit(False).alias("old"))
-                                .union(first.select("a", "b", "sim", F.lit(True).alias("old"))), grown, 24)
-    sizes = {r.a: r.n for r in wide.groupBy("a").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert sizes[int(ids[0])] > nn_descent.LIST and all(n <= nn_descent.LIST for a, n in sizes.items() if a != ids[0])
+    assert all(r.sim > r.least or r.sim == r.least for r in second.collect())
+    third = nn_descent.keep_best(entries(met, second), 0.95)
+    grown = {r.a for r in second.where("size > 12").collect()}
+    sizes = {r.a: r.n for r in third.groupBy("a").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert grown and all(sizes[a] > nn_descent.LIST for a in grown)
+    assert all(n <= nn_descent.LIST for a, n in sizes.items() if a not in grown)
 
 
 def test_forest_connects_what_the_matrix_connects():
