@@ -82,14 +82,17 @@ def style_columns(text) -> list[Column]:
 
 
 def char_ngrams(text, n: int) -> Column:
-    """All overlapping character n-grams of a text, in order.
+    """All overlapping character n-grams of a text, in order."""
+    return char_ngrams_of(F.split(as_col(text), ""), n)
 
-    Shifted slices of the character array are zipped, so every array is built once per
-    row (an element lookup inside a lambda would re-split the text per element).
+
+def char_ngrams_of(chars: Column, n: int) -> Column:
+    """All overlapping n-grams of an array of characters, in order.
+
+    Shifted slices of the array are zipped, so every array is built once per row (an element
+    lookup inside a lambda would rebuild the array per element).
     """
-    t = as_col(text)
-    chars = F.split(t, "")
-    m = F.greatest(F.lit(0), F.length(t) - (n - 1))
+    m = F.greatest(F.lit(0), F.size(chars) - (n - 1))
     out = F.slice(chars, 1, m)
     for j in range(1, n):
         out = F.zip_with(out, F.slice(chars, j + 1, m), lambda a, b: F.concat(a, b))
@@ -109,16 +112,18 @@ def distinct_ngrams(text, n: int) -> Column:
 def ngram_counts(df: DataFrame, text_col: str = "text", orders=NGRAM_ORDERS) -> DataFrame:
     """Corpus-wide counts ``(n, gram, cnt)`` of overlapping n-grams of padded texts.
 
-    ``explode`` feeds a hash aggregate whose partial (map-side) stage collapses every
-    partition to its distinct grams before the shuffle.
+    One pass: a text is split once into grams of all orders; ``explode`` feeds a hash
+    aggregate whose partial (map-side) stage collapses every partition to its distinct grams
+    before the shuffle.  The order of a gram is its length.
     """
-    out = None
-    for n in orders:
-        g = (df.select(F.explode(char_ngrams(padded(text_col), n)).alias("gram"))
-             .groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"))
-             .select(F.lit(n).alias("n"), "gram", "cnt"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    chars = F.split(padded(text_col), "")
+
+    def grams(c: Column) -> Column:
+        return F.concat(*[char_ngrams_of(c, n) for n in orders])
+
+    split_once = F.transform(F.array(chars), lambda c: grams(c))[0]
+    return (df.select(F.explode(split_once).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"))
+            .select(F.length("gram").cast("int").alias("n"), "gram", "cnt"))
 
 
 def top_ngrams(counts: DataFrame, top: int = NGRAM_TOP) -> DataFrame:
@@ -142,10 +147,11 @@ def collect_vocabulary(vocab: DataFrame) -> dict[int, list[str]]:
     return out
 
 
-def _gram_count(t: Column):
+def _gram_count(t: Column, size: Column):
     # A one-argument lambda: ``transform`` reads a second parameter as the element index.
+    # Sizes are in bytes, which need no pass over the text.
     def f(g):
-        return (F.length(t) - F.length(F.replace(t, g, F.lit("")))) / F.length(g)
+        return (size - F.octet_length(F.replace(t, g, F.lit("")))) / F.octet_length(g)
     return f
 
 
@@ -159,7 +165,7 @@ def ngram_frequencies(text, vocabulary: dict[int, list[str]]) -> Column:
         if not grams:
             continue
         arr = F.array(*[F.lit(g) for g in grams])
-        counts = F.transform(arr, _gram_count(t))
+        counts = F.transform(arr, _gram_count(t, F.octet_length(t)))
         # The denominator is built once per row outside any lambda (a reference inside
         # one would be re-evaluated for every vocabulary entry).
         dens = F.array_repeat(distinct_ngrams(t, n).cast("double"), len(grams))

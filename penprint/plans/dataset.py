@@ -64,14 +64,16 @@ def create_dataset(clean: DataFrame, n: int, limit: int | None = None,
     narrow = S.limit_per_author(narrow, limit)
     parts = S.apply_label_map(S.stratified_split(narrow, split, seed), selected).select("doc_id", "label", "split")
     texts = S.restrict_to(clean, selected).select("doc_id", "text")
-    parts = texts.join(parts, "doc_id")
+    # The hint keeps the text side streamed: narrow rows, even by their unique ids, are hashed
+    # partition by partition and the text is neither broadcast nor gathered.
+    parts = texts.join(parts.hint("shuffle_hash"), "doc_id")
     if add_out_of_class:
         S.require_others(ranked, n)
         pool = S.out_of_class_pool(clean.select("doc_id", "label"), ranked, n, seed)
         pool_split = S.stratified_split(pool, split, seed, group_cols=("label",),
                                         key_cols=(F.lit("pool"), "doc_id"))
         others = S.exclude(clean, selected).select("doc_id", "text")
-        parts = parts.unionByName(others.join(pool_split.select("doc_id", "label", "split"), "doc_id"))
+        parts = parts.unionByName(others.join(pool_split.select("doc_id", "label", "split").hint("shuffle_hash"), "doc_id"))
     parts = parts.select("doc_id", "label", "text", "split")
     if add_text_features:
         from penprint.functions.features import style_columns

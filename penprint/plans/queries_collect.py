@@ -30,6 +30,20 @@ def b7_html_main_text(spark, sf):
     return p.select("page_id", H.html_main_text("html", ("ad",)).alias("text"))
 
 
+# Pages with boilerplate of several elements, nested and left open, at the head of each article;
+# what must be left of it is one paragraph.
+_NESTED = ('<section class="x ad-box"><p>gone<section><p>gone too</section><div class="b">gone</div></section><img class="ad">'
+           '<p class="intro">Kept before <span class="bad">gone <span>and gone</span> gone</span>and after.<ul><li class="ad">gone<li>no paragraph</ul>')
+_NESTED_LEFT = '<p class="intro">Kept before and after.</p>'
+
+
+@register("b7_html_nested", f"""
+SELECT page_id, {O.html_main_text(f"replace(html, '<article>', '<article>{_NESTED_LEFT}')")} AS text FROM pages""")
+def b7_html_nested(spark, sf):
+    page = F.replace("html", F.lit("<article>"), F.lit("<article>" + _NESTED))
+    return load_pages(spark, sf).select("page_id", H.html_main_text(page, ("ad",)).alias("text"))
+
+
 @register("b8_html_item_rows", f"""
 WITH x AS (SELECT page_id, url, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang,
                   {O.paragraphs(O.main_fragment('html'))} AS paras FROM pages),
@@ -42,7 +56,7 @@ SELECT * FROM r WHERE text IS NOT NULL""")
 def b8_html_item_rows(spark, sf):
     p = load_pages(spark, sf)
     x = p.select("page_id", "url", H.page_lang("html").alias("lang"),
-                 F.posexplode(H.paragraphs(H.main_container(H.remove_blocks("html", ("ad",))))).alias("pos", "para"))
+                 F.posexplode(H.main_paragraphs("html", ("ad",))).alias("pos", "para"))
     r = x.select("page_id", F.col("pos").cast("int").alias("pos"),
                  H.user_from_url("url", HOST_MARKER).alias("author"),
                  H.entity_id("url", PAGE_ID_PREFIX).alias("item_id"),
@@ -246,7 +260,7 @@ REVIEW_QUOTA = 8
 def _review_rows(spark, sf):
     p = load_pages(spark, sf)
     x = p.select("page_id", "url", H.current_page("url").alias("page_no"), H.page_lang("html").alias("lang"),
-                 F.posexplode(H.paragraphs(H.main_container(H.remove_blocks("html", ("ad",))))).alias("pos", "para"))
+                 F.posexplode(H.main_paragraphs("html", ("ad",))).alias("pos", "para"))
     return x.select("page_id", "page_no", F.col("pos").cast("int").alias("pos"),
                     H.user_from_url("url", HOST_MARKER).alias("author"),
                     H.entity_id("url", PAGE_ID_PREFIX).alias("item_id"),

@@ -75,8 +75,8 @@ def test_prompt_set_shape(spark):
 
 
 def test_style_classifier_beats_majority(spark):
-    from penprint.plans.queries_ml import i7_style_classifier
-    pred = i7_style_classifier(spark, SF01)
+    from penprint.plans.queries_ml import i7_style_predictions
+    pred = i7_style_predictions(spark, SF01)
     rows = pred.collect()
     acc = sum(r["label"] == r["predicted"] for r in rows) / len(rows)
     majority = max(sum(r["label"] == k for r in rows) for k in {r["label"] for r in rows}) / len(rows)
