@@ -5,20 +5,26 @@ text hash, line number).  Equal lines meet in one aggregate.  For near ones, a l
 into ``edits + 1`` even segments; a line within ``edits`` edits and no shorter holds one of
 them unchanged, at a shift that its length and the segment's number bound, so each line
 posts its segments and probes those substrings of itself that could be a segment of a line
-of each admissible length.  Pairs sharing a key are verified with Hyyro's banded
+of each admissible length.  Lines sharing a key are verified with Hyyro's banded
 bit-parallel edit distance: a band of ``2 * edits + 1`` rows is one integer, updated once a
 character.
 
 Only DataFrame functions run here: no Python on the executors.
 
 Scale: line text is not shuffled.  First occurrences are aggregates over two 64-bit hashes
-with map-side combine, so a line repeated everywhere is one row a task.  Keys travel as
-hashes with a signature of letter counts: an edit changes them by two at most, so the join
-drops pairs more than ``2 * edits`` apart before it makes a row, and a group of lines that
-share a segment does not yield its pairs.  Each side of the join makes its keys from distinct
-lines, which meet by hash before their keys are rows; no table of keys is written.  Text is fetched for candidate lines only, by a
-join that broadcasts their hashes up to ``BROADCAST_ROWS`` and shuffles beyond.  Each
-document's dropped line numbers join back to it by a hash join built on that narrower side.
+with map-side combine, so a line repeated everywhere is one row a task; a line's keys are
+made in one pass and meet by line hash before they become rows.  A key row is two 64-bit
+values: the line, and a hash of the key beside a signature of letter counts modulo 4, which
+an edit moves by two steps at most.  The keys are dealt once and joined with themselves by a
+semi join: what is left are the key rows with a partner of another line and close letters, one
+row each however large their group.  Only whether an *earlier* near line exists decides, so
+no pair list is made: in rounds, the rows of a key meet its ``LEADERS`` earliest lines, those
+found near are decided, and the others go on to the next leaders; after ``ROUNDS`` rounds the
+undecided rest meets all lines left in its groups.  A cluster of near copies is decided by
+its first lines.  Text is fetched for lines with a partner only, by a join that broadcasts
+their hashes up to ``BROADCAST_ROWS`` and shuffles beyond.  Each document's dropped line
+numbers join back to it by a hash join built on that narrower side, which shuffles the texts
+of the documents once.
 
 Defined cases: a null text stays null and has no lines; blank lines always stay and are not
 counted; lines shorter than ``least`` characters are compared exactly only; rows equal in
@@ -29,7 +35,7 @@ like the added ones are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.llm.common import written
@@ -37,8 +43,12 @@ from penprint.llm.common import written
 EDITS = 2
 LEAST = 24
 LINE_BREAK = "\n"
-LETTERS = "etanio"         # any ASCII letters are right; frequent ones tell lines apart
-SAME_LENGTH = 1 << 24      # beside the letter counts of a probe
+LETTERS = "etaoinshrdlu"   # any ASCII letters are right; frequent ones tell lines apart
+POSTED = 1                 # the bit of a line's own segments, beside two bits a letter
+KEY_SHIFT = 1 + 2 * len(LETTERS)
+SIGNS = ("etaoinshrdlucmfw", "ypgbvk .,0123456")      # any different characters are right
+LEADERS = 8                # earliest lines of a key that a round compares with
+ROUNDS = 3
 BROADCAST_ROWS = 200_000   # of at most 40 bytes
 
 
@@ -53,11 +63,11 @@ def _key(line: Column, length: Column, i: int, start: Column, n: Column) -> Colu
     return F.xxhash64(length, F.lit(i), F.substr(line, (start + 1).cast("int"), n.cast("int")))
 
 
-def line_keys(line: Column, length: Column, edits: int, least: int) -> tuple[list[Column], list[tuple[Column, int]]]:
-    """Keys of a line's own segments, and (key, shorter) of its substrings that may equal a
-    segment of a line ``shorter`` characters shorter; a key is null where a substring would
-    leave the line.  Only shifts that leave at most i edits before segment i and the rest
-    after it are needed."""
+def line_keys(line: Column, length: Column, edits: int, least: int) -> tuple[list[Column], list[Column]]:
+    """Keys of a line's own segments, and of its substrings that may equal a segment of a line
+    no longer; a key is null where a substring would leave the line.  Only shifts that leave
+    at most i edits before segment i and the rest after it are needed; at the same length
+    and place the own key serves."""
     k = edits + 1
     own = [_key(line, length, i, *segment(length, k, i)) for i in range(k)]
     probes = []
@@ -66,18 +76,19 @@ def line_keys(line: Column, length: Column, edits: int, least: int) -> tuple[lis
         for i in range(k):
             start, n = segment(other, k, i)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                at = start + shift
-                fits = (other >= least) & (at >= 0) & (at + n <= length)
-                probes.append((F.when(fits, _key(line, other, i, at, n)), shorter))
+                if shorter or shift:
+                    at = start + shift
+                    fits = (other >= least) & (at >= 0) & (at + n <= length)
+                    probes.append(F.when(fits, _key(line, other, i, at, n)))
     return own, probes
 
 
 def letter_counts(line: Column) -> Column:
-    """The count of each of ``LETTERS`` modulo 16, four bits a letter."""
+    """The count of each of ``LETTERS`` modulo 4, two bits a letter, above the lowest bit."""
     bits = F.lit(0)
     for k, c in enumerate(LETTERS):
         count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)), 4 * k))
+        bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(3)), 2 * k + 1))
     return bits
 
 
@@ -85,8 +96,32 @@ def letter_distance(a: Column, b: Column) -> Column:
     """At most the number of letters that differ in count; an edit changes two counts by one."""
     total = F.lit(0)
     for k in range(len(LETTERS)):
-        d = (F.shiftright(a, 4 * k) - F.shiftright(b, 4 * k)).bitwiseAND(F.lit(15))
-        total = total + F.least(d, F.lit(16) - d)
+        m, n = (F.shiftright(v, 2 * k + 1).bitwiseAND(F.lit(3)).cast("int") for v in (a, b))
+        d = F.abs(m - n)
+        total = total + F.least(d, F.lit(4) - d)
+    return total
+
+
+def sign_counts(line: Column) -> list[Column]:
+    """The counts of ``SIGNS`` modulo 16, four bits each."""
+    out = []
+    for signs in SIGNS:
+        bits = F.lit(0).cast("long")
+        for k, c in enumerate(signs):
+            count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+            bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)).cast("long"), 4 * k))
+        out.append(bits)
+    return out
+
+
+def sign_distance(a: list[Column], b: list[Column]) -> Column:
+    """As ``letter_distance``, of two lists of ``sign_counts``."""
+    total = F.lit(0)
+    for x, y, signs in zip(a, b, SIGNS):
+        for k in range(len(signs)):
+            m, n = (F.shiftright(v, 4 * k).bitwiseAND(F.lit(15)).cast("int") for v in (x, y))
+            d = F.abs(m - n)
+            total = total + F.least(d, F.lit(16) - d)
     return total
 
 
@@ -153,26 +188,25 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def candidate_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """(i1, p1): first hashes of line pairs that share a segment key and nearly their letters."""
+def partnered(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """(h1, k): the key rows that another line shares, posted by one of the two, with nearly its
+    letters; k is the key's hash above the signature and the posted bit."""
     line, length = F.col("line"), F.col("length")
     rows = lines.select("h1", "line", F.length("line").alias("length")).where(length >= least)
     own, probes = line_keys(line, length, edits, least)
-
-    def side(keys: list[tuple[Column, int]]) -> DataFrame:
-        # Distinct lines before the explode: copies of a line are one row a task.
-        one = (rows.select("h1", letter_counts(line).alias("sig"), *[k.alias(f"k{n}") for n, (k, _) in enumerate(keys)])
-               .groupBy("h1").agg(F.first("sig").alias("sig"), *[F.first(f"k{n}").alias(f"k{n}") for n in range(len(keys))]))
-        key = F.explode(F.array(*[F.struct(F.col(f"k{n}").alias("key"), F.lit(flag).alias("flag")) for n, (_, flag) in enumerate(keys)]))
-        return (one.select("h1", "sig", key.alias("k")).where("k.key is not null")
-                .select("k.key", "h1", F.col("sig").bitwiseOR(F.col("k.flag")).alias("sig")))
-
-    index = side([(k, 0) for k in own]).toDF("key", "i1", "isig")
-    probe = side([(k, 0 if shorter else SAME_LENGTH) for k, shorter in probes]).toDF("key", "p1", "psig")
-    close = letter_distance(F.col("isig"), F.col("psig")) <= 2 * edits
-    same = F.col("psig").bitwiseAND(F.lit(SAME_LENGTH)) != 0
-    ordered = F.when(same, F.col("i1") < F.col("p1")).otherwise(F.col("i1") != F.col("p1"))
-    return index.join(probe, (index.key == probe.key) & close & ordered).select("i1", "p1").distinct()
+    below = (1 << KEY_SHIFT) - 1
+    marks = letter_counts(line)
+    packed = ([k.bitwiseAND(F.lit(~below)).bitwiseOR(marks).bitwiseOR(F.lit(POSTED)) for k in own]
+              + [k.bitwiseAND(F.lit(~below)).bitwiseOR(marks) for k in probes])
+    # One row a distinct line before the explode: copies of a line are one row a task.
+    wide = rows.groupBy("h1").agg(*[F.max(k.cast("long")).alias(f"k{n}") for n, k in enumerate(packed)])
+    keys = (wide.select("h1", F.explode(F.array(*[F.col(f"k{n}") for n in range(len(packed))])).alias("k"))
+            .where(F.col("k").isNotNull()))
+    other = keys.toDF("o1", "o")
+    shared = (F.shiftright("k", KEY_SHIFT) == F.shiftright("o", KEY_SHIFT)) & (F.col("h1") != F.col("o1"))
+    posted = F.col("k").bitwiseOR(F.col("o")).bitwiseAND(F.lit(POSTED)) != 0
+    close = letter_distance(F.col("k"), F.col("o")) <= 2 * edits
+    return keys.join(other, shared & posted & close, "left_semi")
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -180,15 +214,53 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def near_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """(h1, h2, o1, o2): pairs of different lines within ``edits`` edits."""
-    pairs = written(candidate_pairs(lines, edits, least), "line-candidates")
-    wanted = written(pairs.select(F.explode(F.array("i1", "p1")).alias("h1")).distinct(), "line-candidates")
-    text = written(lines.select("h1", "h2", "line").join(sized(wanted), "h1").distinct(), "line-texts")
-    found = pairs.join(text.toDF("i1", "i2", "a"), "i1").join(text.toDF("p1", "p2", "b"), "p1")
-    return (found.where(F.abs(F.length("a") - F.length("b")) <= edits)
-            .where(banded_distance(F.col("a"), F.col("b"), edits) <= edits)
-            .select(F.col("i1").alias("h1"), F.col("i2").alias("h2"), F.col("p1").alias("o1"), F.col("p2").alias("o2")))
+def near_lines(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """(h1, h2): the lines within ``edits`` edits of a different line that occurs earlier."""
+    rows = written(partnered(lines, edits, least), "line-keys")
+    wanted = written(rows.select("h1").distinct(), "line-keys")
+    text = written(lines.join(sized(wanted), "h1").groupBy("h1", "h2")
+                   .agg(F.min(F.struct("d", "th", "pos")).alias("first"), F.min("line").alias("line")), "line-texts")
+    signed = text.select("h1", "h2", "first", *[c.alias(f"s{n}") for n, c in enumerate(sign_counts(F.col("line")))])
+    known = written(rows.select("h1", F.shiftright("k", KEY_SHIFT).alias("key")).distinct().join(signed, "h1"), "line-groups")
+    open_ = pool = written(known.join(_as_other(known), (F.col("key") == F.col("okey")) & _signs_close(edits)
+                                      & ((F.col("h1") != F.col("o1")) | (F.col("h2") != F.col("o2"))), "left_semi"), "line-groups")
+    found = None
+    for turn in range(ROUNDS + 1):
+        target = pool
+        if turn < ROUNDS:
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("first", "h1", "h2"))
+            target = written(pool.withColumn("rank", rank).where(F.col("rank") <= LEADERS).drop("rank"), "line-leaders")
+        decided = written(_near_earlier(open_, target, text, edits), "line-near")
+        found = decided if found is None else found.union(decided)
+        if turn == ROUNDS:
+            break
+        same = ["key", "h1", "h2"]
+        pool = written(pool.join(target, same, "left_anti"), "line-groups")
+        # A leader has met every line of its key that is earlier than itself.
+        open_ = written(open_.join(target, same, "left_anti").join(decided, ["h1", "h2"], "left_anti"), "line-groups")
+        if open_.isEmpty():
+            break
+    return written(found.distinct(), "line-near")
+
+
+def _as_other(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").alias("okey"), F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("earlier"),
+                       *[F.col(f"s{n}").alias(f"os{n}") for n in range(len(SIGNS))])
+
+
+def _signs_close(edits: int) -> Column:
+    own, other = ([F.col(f"{p}s{n}") for n in range(len(SIGNS))] for p in ("", "o"))
+    return sign_distance(own, other) <= 2 * edits
+
+
+def _near_earlier(rows: DataFrame, target: DataFrame, text: DataFrame, edits: int) -> DataFrame:
+    """(h1, h2) of ``rows`` near an earlier line of ``target`` that shares a key."""
+    met = (rows.join(_as_other(target), (F.col("key") == F.col("okey")) & (F.col("earlier") < F.col("first")) & _signs_close(edits))
+           .select("h1", "h2", "o1", "o2").distinct())
+    pairs = (met.join(text.select("h1", "h2", F.col("line").alias("a")), ["h1", "h2"])
+             .join(text.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("b")), ["o1", "o2"]))
+    return (pairs.where(F.abs(F.length("a") - F.length("b")) <= edits)
+            .where(banded_distance(F.col("a"), F.col("b"), edits) <= edits).select("h1", "h2").distinct())
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -196,18 +268,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(d, th, pos, near): line occurrences to drop; near tells a near copy from an exact one."""
     lines = _lines(docs, id_col, text_col)
     places = lines.select("d", "th", "pos", "h1", "h2")
-    pairs = written(near_pairs(lines, edits, least), "line-pairs")
-    paired = written(pairs.select("h1", "h2").union(pairs.select("o1", "o2")).distinct(), "line-pairs")
-    firsts = written(places.groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "pos")).alias("first"),
-                                                    F.count(F.lit(1)).alias("copies"))
-                     .join(sized(paired).withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-                     .where("copies > 1 or near"), "line-firsts")
-    ends = (pairs.join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
-            .join(firsts.select("h1", "h2", "first").toDF("o1", "o2", "other"), ["o1", "o2"]))
-    later = (ends.select(F.when(F.col("first") < F.col("other"), F.struct(F.col("o1").alias("h1"), F.col("o2").alias("h2")))
-                         .otherwise(F.struct("h1", "h2")).alias("x")).select("x.*").distinct().withColumn("near", F.lit(True)))
-    marked = (firsts.drop("near").join(later, ["h1", "h2"], "left")
-              .withColumn("near", F.coalesce("near", F.lit(False)))
+    near = sized(near_lines(lines, edits, least)).withColumn("near", F.lit(True))
+    marked = (places.groupBy("h1", "h2").agg(F.min(F.struct("d", "th", "pos")).alias("first"), F.count(F.lit(1)).alias("copies"))
+              .join(near, ["h1", "h2"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
               .where((F.col("copies") > 1) | F.col("near")).drop("copies"))
     return (places.join(sized(written(marked, "line-marks")), ["h1", "h2"])
             .where(F.col("near") | ~F.struct("d", "th", "pos").eqNullSafe(F.col("first")))

@@ -410,13 +410,28 @@ def test_near_pairs_miss_nothing(spark, edits):
             lines.add("".join(b) + ".")
     df = spark.createDataFrame([(k, x) for k, x in enumerate(sorted(lines))], "doc_id long, text string")
     rows = line_dedup._lines(df, "doc_id", "text")
-    got = line_dedup.near_pairs(rows, edits, 24)
-    text = rows.select("h1", "line")
-    got = got.join(text.toDF("h1", "a"), "h1").join(text.toDF("o1", "b"), "o1").select("a", "b").collect()
+    got = line_dedup.near_lines(rows, edits, 24).join(rows.select("h1", "line"), "h1").select("line").collect()
     long = [x for x in sorted(lines) if len(x) >= 24]
     pairs = spark.createDataFrame([(a, b) for i, a in enumerate(long) for b in long[:i] if abs(len(a) - len(b)) <= edits],
                                   "a string, b string").where(F.levenshtein("a", "b") <= edits).collect()
-    assert {frozenset(r) for r in got} == {frozenset(r) for r in pairs} and len(pairs) > 20
+    assert sorted(r.line for r in got) == sorted({r.a for r in pairs}) and len(pairs) > 20
+
+
+def test_large_groups_of_near_lines(spark, monkeypatch):
+    """More lines a key than a round's leaders: near copies of one line, and unlike lines that share
+    segments, each with its later near copy."""
+    monkeypatch.setattr(line_dedup, "LEADERS", 3)
+    rnd = random.Random(9)
+    head, tail = "the same head of many lines of the corpus ", " and the same tail of many lines of it"
+    lines = [head + "abcdefghijklmnop" + c + tail for c in "qrstuvwxyz0123456789"]
+    unlike = [head + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) + tail for _ in range(30)]
+    lines += unlike + [x.replace("many", "mary", 1) for x in unlike[:15]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    rows = line_dedup._lines(df, "doc_id", "text")
+    found = {r.h1 for r in line_dedup.near_lines(rows, 2, 24).collect()}
+    got = {r.d for r in rows.collect() if r.h1 in found}
+    pairs = spark.createDataFrame([(i, j, a, lines[j]) for i, a in enumerate(lines) for j in range(i)], "i int, j int, a string, b string")
+    assert got == {r.i for r in pairs.where(F.levenshtein("a", "b") <= 2).collect()} and len(got) >= 34
 
 
 def test_line_dedup(spark, odd):
