@@ -6,7 +6,7 @@ into ``edits + 1`` even segments; a line within ``edits`` edits and no shorter h
 them unchanged, at a shift that its length and the segment's number bound, so each line
 posts its segments and probes those substrings of itself that could be a segment of a line
 of each admissible length.  Lines sharing a key are verified with Hyyro's banded
-bit-parallel edit distance: a band of ``2 * edits + 1`` rows is one integer, updated once a
+bit-parallel edit distance, their common ends cut off: a band of ``2 * edits + 1`` rows is one integer, updated once a
 character.
 
 Only DataFrame functions run here: no Python on the executors.
@@ -49,6 +49,7 @@ KEY_SHIFT = 1 + 2 * len(LETTERS)
 SIGNS = ("etaoinshrdlucmfw", "ypgbvk .,0123456")      # any different characters are right
 LEADERS = 8                # earliest lines of a key that a round compares with
 ROUNDS = 3
+LONGEST_STEP = 1 << 12
 BROADCAST_ROWS = 200_000   # of at most 40 bytes
 
 
@@ -181,6 +182,32 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.length(a) == 0, F.length(b)).when(F.length(b) == 0, F.length(a)).otherwise(run)
 
 
+def common_prefix(a: Column, b: Column) -> Column:
+    """Characters that two strings begin with alike, up to ``2 * LONGEST_STEP - 1``."""
+    least = F.least(F.length(a), F.length(b))
+
+    def grow(p: Column, step: int) -> Column:
+        alike = (p + step <= least) & (F.substr(a, p + 1, F.lit(step)) == F.substr(b, p + 1, F.lit(step)))
+        more = F.when(alike, p + step).otherwise(p)
+        return more if step == 1 else _let(more, lambda q: grow(q, step // 2))
+
+    return grow(F.lit(0), LONGEST_STEP)
+
+
+def trimmed_distance(a: Column, b: Column, edits: int) -> Column:
+    """``banded_distance`` without the common ends, which cost no edit, but for ``edits`` characters
+    of each, as the band needs rows of its own height."""
+    def rest(x: Column, y: Column, p: Column) -> Column:
+        return F.struct(*[F.reverse(F.substr(v, F.greatest(p - edits, F.lit(0)) + 1, F.length(v))).alias(n)
+                          for v, n in ((x, "a"), (y, "b"))])
+
+    def inner(x: Column) -> Column:
+        return _let(rest(x["a"], x["b"], common_prefix(x["a"], x["b"])), lambda y: _let(
+            rest(y["a"], y["b"], common_prefix(y["a"], y["b"])), lambda z: banded_distance(z["a"], z["b"], edits)))
+
+    return _let(F.struct(a.alias("a"), b.alias("b")), inner)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("th"),
                        F.posexplode(F.split(F.col(text_col), LINE_BREAK, -1)).alias("pos", "line"))
@@ -260,7 +287,7 @@ def _near_earlier(rows: DataFrame, target: DataFrame, text: DataFrame, edits: in
     pairs = (met.join(text.select("h1", "h2", F.col("line").alias("a")), ["h1", "h2"])
              .join(text.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("b")), ["o1", "o2"]))
     return (pairs.where(F.abs(F.length("a") - F.length("b")) <= edits)
-            .where(banded_distance(F.col("a"), F.col("b"), edits) <= edits).select("h1", "h2").distinct())
+            .where(trimmed_distance(F.col("a"), F.col("b"), edits) <= edits).select("h1", "h2").distinct())
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

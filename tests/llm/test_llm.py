@@ -396,6 +396,23 @@ def test_banded_distance(spark, edits):
     assert all(r.t == r.x for r in got if r.t <= edits or r.x <= edits)
 
 
+def test_trimmed_distance(spark):
+    rnd = random.Random(8)
+    rows = []
+    for _ in range(300):
+        a = "".join(rnd.choice("abé中") for _ in range(rnd.randrange(4, 90)))
+        b = list(a)
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(len(b) + 1)
+            b[at:at + rnd.randrange(2)] = rnd.choice(["", "a", "é", "x"])
+        if abs(len(a) - len("".join(b))) <= 2:
+            rows.append((a, "".join(b)))
+    rows += [("x" * 20_000 + "ab", "x" * 20_000 + "ba"), ("abab", "abab")]
+    got = spark.createDataFrame(rows, "a string, b string").select(
+        line_dedup.trimmed_distance(F.col("a"), F.col("b"), 2).alias("t"), F.levenshtein("a", "b").alias("x")).collect()
+    assert all(r.t == r.x for r in got if r.t <= 2 or r.x <= 2) and len(got) > 200
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_near_pairs_miss_nothing(spark, edits):
     rnd = random.Random(edits)
