@@ -14,8 +14,8 @@ Only DataFrame functions run here: no Python on the executors.
 Scale: line text is not shuffled.  First occurrences are aggregates over two 64-bit hashes
 with map-side combine, so a line repeated everywhere is one row a task; a line's keys are
 made in one pass and meet by line hash before they become rows.  A key row is two 64-bit
-values: the line, and a hash of the key beside a signature of letter counts modulo 4, which
-an edit moves by two steps at most.  The keys are dealt once and joined with themselves by a
+values: the line, and a hash of the key beside a signature of letter counts modulo 4 in
+Gray code, of which an edit changes two bits at most.  The keys are dealt once and joined with themselves by a
 semi join: what is left are the key rows with a partner of another line and close letters, one
 row each however large their group.  Only whether an *earlier* near line exists decides, so
 no pair list is made: in rounds, the rows of a key meet its ``LEADERS`` earliest lines, those
@@ -46,7 +46,9 @@ LINE_BREAK = "\n"
 LETTERS = "etaoinshrdlu"   # any ASCII letters are right; frequent ones tell lines apart
 POSTED = 1                 # the bit of a line's own segments, beside two bits a letter
 KEY_SHIFT = 1 + 2 * len(LETTERS)
-SIGNS = ("etaoinshrdlucmfw", "ypgbvk .,0123456")      # any different characters are right
+SIGNS = "etaoinshrdlucmfwypgbvk .,0123456"         # any different ASCII characters are right
+PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar",
+         "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co")      # any of two different ASCII characters
 LEADERS = 8                # earliest lines of a key that a round compares with
 ROUNDS = 3
 LONGEST_STEP = 1 << 12
@@ -84,46 +86,19 @@ def line_keys(line: Column, length: Column, edits: int, least: int) -> tuple[lis
     return own, probes
 
 
-def letter_counts(line: Column) -> Column:
-    """The count of each of ``LETTERS`` modulo 4, two bits a letter, above the lowest bit."""
-    bits = F.lit(0)
-    for k, c in enumerate(LETTERS):
-        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(3)), 2 * k + 1))
+def count_bits(line: Column, signs) -> Column:
+    """The count of each sign modulo 4 in Gray code, two bits a sign from the lowest: the bits in
+    which two such values differ are at most the steps between their counts."""
+    bits = F.lit(0).cast("long")
+    for k, sign in enumerate(signs):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(sign), F.lit("")))
+        count = (F.shiftright(count, 1) if len(sign) == 2 else count).bitwiseAND(F.lit(3))
+        bits = bits.bitwiseOR(F.shiftleft(count.bitwiseXOR(F.shiftright(count, 1)).cast("long"), 2 * k))
     return bits
 
 
-def letter_distance(a: Column, b: Column) -> Column:
-    """At most the number of letters that differ in count; an edit changes two counts by one."""
-    total = F.lit(0)
-    for k in range(len(LETTERS)):
-        m, n = (F.shiftright(v, 2 * k + 1).bitwiseAND(F.lit(3)).cast("int") for v in (a, b))
-        d = F.abs(m - n)
-        total = total + F.least(d, F.lit(4) - d)
-    return total
-
-
-def sign_counts(line: Column) -> list[Column]:
-    """The counts of ``SIGNS`` modulo 16, four bits each."""
-    out = []
-    for signs in SIGNS:
-        bits = F.lit(0).cast("long")
-        for k, c in enumerate(signs):
-            count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-            bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)).cast("long"), 4 * k))
-        out.append(bits)
-    return out
-
-
-def sign_distance(a: list[Column], b: list[Column]) -> Column:
-    """As ``letter_distance``, of two lists of ``sign_counts``."""
-    total = F.lit(0)
-    for x, y, signs in zip(a, b, SIGNS):
-        for k in range(len(signs)):
-            m, n = (F.shiftright(v, 4 * k).bitwiseAND(F.lit(15)).cast("int") for v in (x, y))
-            d = F.abs(m - n)
-            total = total + F.least(d, F.lit(16) - d)
-    return total
+def bits_apart(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def _let(value: Column, body) -> Column:
@@ -222,7 +197,7 @@ def partnered(lines: DataFrame, edits: int, least: int) -> DataFrame:
     rows = lines.select("h1", "line", F.length("line").alias("length")).where(length >= least)
     own, probes = line_keys(line, length, edits, least)
     below = (1 << KEY_SHIFT) - 1
-    marks = letter_counts(line)
+    marks = F.shiftleft(count_bits(line, LETTERS), 1)
     packed = ([k.bitwiseAND(F.lit(~below)).bitwiseOR(marks).bitwiseOR(F.lit(POSTED)) for k in own]
               + [k.bitwiseAND(F.lit(~below)).bitwiseOR(marks) for k in probes])
     # One row a distinct line before the explode: copies of a line are one row a task.
@@ -232,7 +207,8 @@ def partnered(lines: DataFrame, edits: int, least: int) -> DataFrame:
     other = keys.toDF("o1", "o")
     shared = (F.shiftright("k", KEY_SHIFT) == F.shiftright("o", KEY_SHIFT)) & (F.col("h1") != F.col("o1"))
     posted = F.col("k").bitwiseOR(F.col("o")).bitwiseAND(F.lit(POSTED)) != 0
-    close = letter_distance(F.col("k"), F.col("o")) <= 2 * edits
+    letters = F.lit(below & ~POSTED)
+    close = bits_apart(F.col("k").bitwiseAND(letters), F.col("o").bitwiseAND(letters)) <= 2 * edits
     return keys.join(other, shared & posted & close, "left_semi")
 
 
@@ -247,7 +223,7 @@ def near_lines(lines: DataFrame, edits: int, least: int) -> DataFrame:
     wanted = written(rows.select("h1").distinct(), "line-keys")
     text = written(lines.join(sized(wanted), "h1").groupBy("h1", "h2")
                    .agg(F.min(F.struct("d", "th", "pos")).alias("first"), F.min("line").alias("line")), "line-texts")
-    signed = text.select("h1", "h2", "first", *[c.alias(f"s{n}") for n, c in enumerate(sign_counts(F.col("line")))])
+    signed = text.select("h1", "h2", "first", count_bits(F.col("line"), SIGNS).alias("signs"), count_bits(F.col("line"), PAIRS).alias("pairs"))
     known = written(rows.select("h1", F.shiftright("k", KEY_SHIFT).alias("key")).distinct().join(signed, "h1"), "line-groups")
     open_ = pool = written(known.join(_as_other(known), (F.col("key") == F.col("okey")) & _signs_close(edits)
                                       & ((F.col("h1") != F.col("o1")) | (F.col("h2") != F.col("o2"))), "left_semi"), "line-groups")
@@ -272,12 +248,13 @@ def near_lines(lines: DataFrame, edits: int, least: int) -> DataFrame:
 
 def _as_other(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("key").alias("okey"), F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("earlier"),
-                       *[F.col(f"s{n}").alias(f"os{n}") for n in range(len(SIGNS))])
+                       F.col("signs").alias("osigns"), F.col("pairs").alias("opairs"))
 
 
 def _signs_close(edits: int) -> Column:
-    own, other = ([F.col(f"{p}s{n}") for n in range(len(SIGNS))] for p in ("", "o"))
-    return sign_distance(own, other) <= 2 * edits
+    """An edit moves the counts of two characters, and of four pairs, by one at most."""
+    return ((bits_apart(F.col("signs"), F.col("osigns")) <= 2 * edits)
+            & (bits_apart(F.col("pairs"), F.col("opairs")) <= 4 * edits))
 
 
 def _near_earlier(rows: DataFrame, target: DataFrame, text: DataFrame, edits: int) -> DataFrame:
