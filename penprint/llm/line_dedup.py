@@ -19,8 +19,8 @@ Gray code, of which an edit changes two bits at most.  The keys are dealt once a
 semi join: what is left are the key rows with a partner of another line and close letters, one
 row each however large their group.  Only whether an *earlier* near line exists decides, so
 no pair list is made: in rounds, the rows of a key meet its ``LEADERS`` earliest lines, those
-found near are decided, and the others go on to the next leaders; after ``ROUNDS`` rounds the
-undecided rest meets all lines left in its groups.  A cluster of near copies is decided by
+found near are decided, and the others go on; after ``ROUNDS`` rounds the undecided rest meets all
+lines left in its groups.  A cluster of near copies is decided by
 its first lines.  Text is fetched for lines with a partner only, by a join that broadcasts
 their hashes up to ``BROADCAST_ROWS`` and shuffles beyond.  Each document's dropped line
 numbers join back to it by a hash join built on that narrower side, which shuffles the texts
@@ -49,8 +49,8 @@ KEY_SHIFT = 1 + 2 * len(LETTERS)
 SIGNS = "etaoinshrdlucmfwypgbvk .,0123456"         # any different ASCII characters are right
 PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar",
          "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co")      # any of two different ASCII characters
-LEADERS = 8                # earliest lines of a key that a round compares with
-ROUNDS = 3
+LEADERS = 16               # earliest lines of a key that a round compares with
+ROUNDS = 1
 LONGEST_STEP = 1 << 12
 BROADCAST_ROWS = 200_000   # of at most 40 bytes
 
@@ -224,7 +224,7 @@ def near_lines(lines: DataFrame, edits: int, least: int) -> DataFrame:
     text = written(lines.join(sized(wanted), "h1").groupBy("h1", "h2")
                    .agg(F.min(F.struct("d", "th", "pos")).alias("first"), F.min("line").alias("line")), "line-texts")
     signed = text.select("h1", "h2", "first", count_bits(F.col("line"), SIGNS).alias("signs"), count_bits(F.col("line"), PAIRS).alias("pairs"))
-    known = written(rows.select("h1", F.shiftright("k", KEY_SHIFT).alias("key")).distinct().join(signed, "h1"), "line-groups")
+    known = rows.select("h1", F.shiftright("k", KEY_SHIFT).alias("key")).distinct().join(signed, "h1")
     open_ = pool = written(known.join(_as_other(known), (F.col("key") == F.col("okey")) & _signs_close(edits)
                                       & ((F.col("h1") != F.col("o1")) | (F.col("h2") != F.col("o2"))), "left_semi"), "line-groups")
     found = None
@@ -238,7 +238,7 @@ def near_lines(lines: DataFrame, edits: int, least: int) -> DataFrame:
         if turn == ROUNDS:
             break
         same = ["key", "h1", "h2"]
-        pool = written(pool.join(target, same, "left_anti"), "line-groups")
+        pool = pool.join(target, same, "left_anti")
         # A leader has met every line of its key that is earlier than itself.
         open_ = written(open_.join(target, same, "left_anti").join(decided, ["h1", "h2"], "left_anti"), "line-groups")
         if open_.isEmpty():
