@@ -194,10 +194,12 @@ def partnered(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(h1, k): the key rows that another line shares, posted by one of the two, with nearly its
     letters; k is the key's hash above the signature and the posted bit."""
     line, length = F.col("line"), F.col("length")
-    rows = lines.select("h1", "line", F.length("line").alias("length")).where(length >= least)
+    # The signature is a column of its own, so that the plan holds its expression once.
+    rows = (lines.select("h1", "line", F.length("line").alias("length")).where(length >= least)
+            .withColumn("marks", F.shiftleft(count_bits(line, LETTERS), 1)))
     own, probes = line_keys(line, length, edits, least)
     below = (1 << KEY_SHIFT) - 1
-    marks = F.shiftleft(count_bits(line, LETTERS), 1)
+    marks = F.col("marks")
     packed = ([k.bitwiseAND(F.lit(~below)).bitwiseOR(marks).bitwiseOR(F.lit(POSTED)) for k in own]
               + [k.bitwiseAND(F.lit(~below)).bitwiseOR(marks) for k in probes])
     # One row a distinct line before the explode: copies of a line are one row a task.
