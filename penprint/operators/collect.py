@@ -56,7 +56,7 @@ def first_seen(listings: DataFrame, id_col: str = "item_id") -> DataFrame:
                     F.col("f.ts").alias("ts")))
 
 
-def _blocked_prefix(df: DataFrame, group: str, order: str, value: str, out: str,
+def blocked_prefix(df: DataFrame, group: str, order: str, value: str, out: str,
                     block: int = 1_000_000) -> DataFrame:
     """Exclusive running sum of ``value`` within ``group`` ordered by integer ``order``,
     computed per block of ``block`` consecutive orders plus block offsets so no window
@@ -88,7 +88,7 @@ def paged_quota(items: DataFrame, user: str, order_cols: list[str], accepted: Co
     if limit is None:
         return ranked.filter(F.col("_acc") == 1).drop("_acc", "_r", "_group_n")
     pages = ranked.groupBy(user, "page").agg(F.sum("_acc").alias("_pa"))
-    pages = _blocked_prefix(pages, user, "page", "_pa", "_before")
+    pages = blocked_prefix(pages, user, "page", "_pa", "_before")
     visited = pages.filter(F.col("_before") < limit).select(user, "page")
     return (ranked.join(visited, [user, "page"], "left_semi")
             .filter(F.col("_acc") == 1).drop("_acc", "_r", "_group_n"))
@@ -105,7 +105,7 @@ def page_quota(items: DataFrame, user: str, page_order: list[str], accepted: Col
         return x.filter(F.col("_acc") == 1).drop("_acc")
     pages = x.groupBy(user, *page_order).agg(F.sum("_acc").alias("_pa"))
     pages = rank_in_group(pages, [user], page_order, page_order[0], "range", rank_col="_pr")
-    pages = _blocked_prefix(pages, user, "_pr", "_pa", "_before")
+    pages = blocked_prefix(pages, user, "_pr", "_pa", "_before")
     visited = pages.filter(F.col("_before") < limit).select(user, *page_order)
     return (x.join(visited, [user, *page_order], "left_semi")
             .filter(F.col("_acc") == 1).drop("_acc"))
