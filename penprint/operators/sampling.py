@@ -126,6 +126,23 @@ def out_of_class_pool(corpus: DataFrame, ranked_authors: DataFrame, n: int,
                                                                if c not in ("doc_id", "label")]))
 
 
+def out_of_class_pools(corpus: DataFrame, ranked_authors: DataFrame, ns: list[int], seed=DEFAULT_SEED) -> DataFrame:
+    """F3 pools for several N: ``(n, doc_id)``, for each N the rows of ``out_of_class_pool``.  Each
+    author's texts are ranked once; every N takes its own share of the authors beyond it."""
+    counts = [F.struct(F.lit(n).alias("n"),
+                       F.max(F.when(F.col("author_rank") == n - 1, F.col("n_texts"))).alias("last_n"),
+                       F.count(F.when(F.col("author_rank") >= n, 1)).alias("n_other")) for n in ns]
+    shares = F.transform("_counts", lambda c: F.struct(
+        c["n"].alias("n"), F.when(c["n_other"] > 0, F.ceil(c["last_n"] / c["n_other"])).cast("long").alias("k")))
+    # One row, of one entry an N.
+    shares = ranked_authors.agg(F.array(*counts).alias("_counts")).select(shares.alias("_shares"), F.lit(1).alias("_one"))
+    others = ranked_authors.filter(F.col("author_rank") >= min(ns)).select("label", "author_rank")
+    pool = corpus.select("doc_id", "label").join(others, "label").withColumn("_key", hash_key(seed, F.lit("ooc"), "label", "doc_id"))
+    ranked = rank_in_group(pool, ["label"], ["_key", "doc_id"], "_key", "hex").withColumn("_one", F.lit(1))
+    due = F.filter("_shares", lambda s: (F.col("author_rank") >= s["n"]) & (F.col("_rank") < s["k"]))
+    return ranked.join(F.broadcast(shares), "_one").select(F.explode(F.transform(due, lambda s: s["n"])).alias("n"), "doc_id")
+
+
 def require_others(ranked_authors: DataFrame, n: int) -> None:
     """The reference divides by the number of non-selected authors."""
     if ranked_authors.filter(F.col("author_rank") >= n).limit(1).count() == 0:

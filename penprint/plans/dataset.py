@@ -81,6 +81,51 @@ def create_dataset(clean: DataFrame, n: int, limit: int | None = None,
     return parts
 
 
+def create_datasets(clean: DataFrame, ns, limit: int | None = None, add_out_of_class: bool = False,
+                    split=S.DEFAULT_SPLIT, seed=DEFAULT_SEED) -> DataFrame:
+    """G-1 for several N in one plan: ``(n, doc_id, label, text, split)``, for each N the rows of
+    ``create_dataset(clean, N)``.
+
+    One ranking of the authors and one split serve every N, since an author's split depends on
+    their texts alone; the narrow rows are then dealt to each N that the author belongs to, and
+    the texts are joined once."""
+    ns = sorted(set(ns))
+    if not ns or ns[0] < 1:
+        raise ValueError(f"numbers of authors must be positive, got {ns}")
+    if limit is not None and limit < 1:
+        raise ValueError(f"a limit per author must be positive, got {limit}")
+    split = S.check_split(split)
+    clean = reuse(clean)
+    ranked = reuse(ranked_authors(clean))
+    selected = S.top_authors(ranked, ns[-1])
+    of = clean.select("doc_id", "label")
+    parts = S.stratified_split(S.limit_per_author(S.restrict_to(of, selected), limit), split, seed)
+    # At most max(ns) authors, a parameter.
+    parts = parts.join(F.broadcast(selected.select("label", "author_rank")), "label")
+    every = F.array(*[F.lit(n) for n in ns])
+    parts = parts.select(F.explode(F.filter(every, lambda n: F.col("author_rank") < n)).alias("n"), "doc_id",
+                         F.col("author_rank").cast("string").alias("label"), "split")
+    texts = S.restrict_to(clean, selected).select("doc_id", "text")
+    if add_out_of_class:
+        S.require_others(ranked, ns[-1])
+        pool = S.out_of_class_pools(of, ranked, ns, seed)
+        pool = S.stratified_split(pool, split, seed, group_cols=("n",), key_cols=(F.lit("pool"), "doc_id"))
+        parts = parts.unionByName(pool.select("n", "doc_id", F.col("n").cast("string").alias("label"), "split"))
+        texts = clean.select("doc_id", "text")
+    return texts.join(parts.hint("shuffle_hash"), "doc_id").select("n", "doc_id", "label", "text", "split")
+
+
+def write_datasets(df: DataFrame, out_dir: str, add_out_of_class: bool = False, fmt: str = "parquet", seed=DEFAULT_SEED) -> str:
+    """A2 for several N: ``n=<N>/split=<name>`` below one folder, each in the seeded order of G-3."""
+    path = f"{out_dir.rstrip('/')}/tops{'_withOOC' if add_out_of_class else ''}"
+    rows = df.orderBy("n", "split", hash_key(seed, F.lit("order"), "doc_id"), "doc_id")
+    w = rows.write.mode("overwrite").partitionBy("n", "split")
+    if fmt == "csv":
+        w = w.option("header", True).option("escape", '"')
+    w.format(fmt).save(path)
+    return path
+
+
 def shuffled(df: DataFrame, seed=DEFAULT_SEED) -> DataFrame:
     """G-3: the reference's final ``sample(frac=1)``, as a seeded sort used at write time."""
     return df.orderBy(hash_key(seed, F.lit("order"), "doc_id"), "doc_id")

@@ -139,6 +139,18 @@ def f3_create_dataset_ooc(spark, sf):
     return ds.select("doc_id", "label", "split")
 
 
+# -- G-1: several N in one plan -----------------------------------------------------------
+TOPS = (3, 5, 10)
+
+
+@register("g1_create_datasets", "".join(
+    f"{' UNION ALL ' if k else ''}SELECT CAST({n} AS INTEGER) AS n, doc_id, label, split FROM (WITH {O.dataset_ctes(n, ooc=True)} SELECT * FROM dataset)"
+    for k, n in enumerate(TOPS)))
+def g1_create_datasets(spark, sf):
+    ds = D.create_datasets(_clean(spark, sf), TOPS, add_out_of_class=True)
+    return ds.select("n", "doc_id", "label", "split")
+
+
 # -- E2 corpus info, E3 histogram (raw deduplicated corpus) -----------------------------
 _RAW = """raw AS (SELECT doc_id, source AS label, text FROM documents WHERE text IS NOT NULL),
 dedup AS (SELECT min(doc_id) AS doc_id, label, text FROM raw GROUP BY label, text),

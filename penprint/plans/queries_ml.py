@@ -29,11 +29,11 @@ def lang_dataset(spark, sf):
     return cut_lineage(D.create_dataset(clean, N_LANGS))
 
 
-def _fit_all(spark, sf):
+def _fit_all(spark, sf, folds=1):
     ds = lang_dataset(spark, sf)
     lang = ML.language_model(ds.filter(F.col("split") == "train"), label="label")
     scores = reuse(ML.external_scores(ds, lang))
-    ens = ML.Ensemble().fit(ds, scores)
+    ens = ML.Ensemble().fit(ds, scores, folds)
     return ds, scores, ens
 
 
@@ -95,6 +95,13 @@ def i9_stacked_ensemble(spark, sf):
     return ens.score(ds.filter(F.col("split") == "test"), scores).drop("proba")
 
 
+@register("i9_out_of_fold")
+def i9_out_of_fold(spark, sf):
+    """``i9_stacked_ensemble`` with the stacked model trained on three-fold out-of-fold probabilities."""
+    ds, scores, ens = _fit_all(spark, sf, folds=3)
+    return ens.score(ds.filter(F.col("split") == "test"), scores)
+
+
 @register("i10_ensemble_score")
 def i10_ensemble_score(spark, sf):
     ds, scores, ens = _fit_all(spark, sf)
@@ -158,3 +165,13 @@ def i11_score_vectors(spark, sf):
     from penprint.sources.corpus import read_table
     _, out = ML.embeddings_classifier(read_table(spark, sf, "embeddings"))
     return out
+
+
+@register("i11_raw_outputs")
+def i11_raw_outputs(spark, sf):
+    """Raw outputs (logits) of a model applied to every row of ``embeddings`` through the score hook."""
+    from penprint.sources.corpus import read_table
+    emb = read_table(spark, sf, "embeddings")
+    model, _ = ML.embeddings_classifier(emb)
+    width = len(model.stages[0].labels)
+    return ML.score_batches(emb, ML.linear_scorer(model), width, "embedding", "vec_id", tensor=[model.stages[-1].numFeatures])

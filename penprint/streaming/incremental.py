@@ -61,6 +61,7 @@ def seen_once(listings: DataFrame, id_col: str = "item_id", watermark: str | Non
     not; so an id listed again later than that is emitted again.  Without it, ids are
     remembered for good."""
     if watermark:
+        listings = listings.withColumn(time_col, F.col(time_col).cast("timestamp"))     # event times carry a zone
         return listings.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark([id_col])
     return listings.dropDuplicates([id_col])
 
