@@ -169,6 +169,22 @@ def test_decontamination_short_items_long_texts(spark):
     assert got == {(1, 1, 120_000), (1, None, 150_002), (4, 1, 0)}
 
 
+@pytest.mark.parametrize("radius", [0, 3, 15, 24])
+def test_hamming_blocks_find_every_fingerprint_within_the_radius(radius):
+    rng = np.random.default_rng(radius)
+    fps = rng.integers(0, 2 ** 64, 21, dtype=np.uint64)
+    fps[20] = fps[0]
+    probes = list(rng.integers(0, 2 ** 64, 500, dtype=np.uint64))
+    for k in range(2000):                                    # exactly at the radius, and one bit beyond
+        flips = rng.choice(64, radius + k % 2, replace=False)
+        probes.append(fps[k % 21] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64)) if len(flips) else fps[k % 21])
+    probes = np.array(probes, np.uint64)
+    apart = np.bitwise_count(probes[:, None] ^ fps[None, :])
+    got = decontaminate.HammingBlocks(fps, radius)(probes)
+    assert set(zip(*(x.tolist() for x in got))) == set(zip(*(x.tolist() for x in np.nonzero(apart <= radius))))
+    assert len(got[0]) >= 1000 and decontaminate.HammingBlocks(fps, radius)(probes[:0])[0].size == 0
+
+
 def test_decontamination_misses_no_brute_force_match():
     rnd = random.Random(33)
     vocab = [f"w{k}" for k in range(5000)]
