@@ -122,7 +122,9 @@ def _answers(index: DataFrame, q_ids: np.ndarray, q: np.ndarray, pivots: np.ndar
                 rows, ranks = np.frombuffer(s["rows"], "<i4"), np.frombuffer(s["ranks"], "<i2")
                 norm = _norm(v)
                 n = len(ids)
-                keep = min(n, max(least, int(np.ceil(n * share))) + 1)     # the query's own row may be among them
+                most = int(np.unique(ids, return_counts=True)[1].max())
+                repeats = most > 1
+                keep = min(n, max(least, int(np.ceil(n * share))) + most)  # the query's own rows may be among them
                 out_q, out_v, out_s = [], [], []
                 for j in range(len(q_ids)):
                     foot = np.zeros(n, np.int64)
@@ -136,7 +138,10 @@ def _answers(index: DataFrame, q_ids: np.ndarray, q: np.ndarray, pivots: np.ndar
                     near = np.argpartition(foot, keep - 1)[:keep] if keep < n else np.arange(n)
                     near = near[ids[near] != q_ids[j]]
                     score = (v[near] / norm[near, None] * (q[j] / q_norm[j])).sum(axis=1)
-                    best = np.lexsort((ids[near], -score))[:k]
+                    best = np.lexsort((ids[near], -score))
+                    if repeats:                                            # a row of each id: its nearest
+                        best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])]
+                    best = best[:k]
                     out_q.append(np.full(len(best), q_ids[j]))
                     out_v.append(ids[near][best])
                     out_s.append(score[best])
@@ -173,6 +178,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
         parts = found if parts is None else parts.union(found)
     if parts is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # Rows of one id may answer from several segments, and for several queries of one id.
+    parts = parts.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

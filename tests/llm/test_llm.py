@@ -517,6 +517,21 @@ def test_permutation_index_odd_rows(spark):
     assert permutation_index.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_permutation_index_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(60)]
+    schema = "vec_id long, embedding array<double>"
+    want = permutation_index.search(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0)
+    want = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in want.orderBy("query_id", "rank").collect()]
+    nearest = next(v for q, rank, v, _ in want if (q, rank) == (0, 1))
+    again = rows + [rows[0]] * 400 + [rows[nearest]] * 30 + [rows[50]]     # queries and answers repeated
+    got = permutation_index.search(spark.createDataFrame(again, schema).repartition(3), F.col("vec_id") % 50 == 0, least=20)
+    assert [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got.orderBy("query_id", "rank").collect()] == want
+    other = spark.createDataFrame(rows + [(7, rows[0][1])], schema)        # id 7 with a second vector, that of query 0
+    first = permutation_index.search(other, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert first[0].vec_id == 7 and abs(first[0].score - 1) < 1e-12 and len({r.vec_id for r in first}) == 5
+
+
 # ---- pipeline --------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, odd):
