@@ -18,7 +18,7 @@ from penprint.functions import features as FT
 from penprint.operators import ml as ML
 from penprint.plans import dataset as D
 from penprint.plans.queries_core import _clean
-from penprint.session import checkpoint_dir, cut_lineage, reuse
+from penprint.session import cut_lineage, reuse, shared_dir
 
 N_LANGS = 4
 
@@ -105,8 +105,7 @@ def i9_out_of_fold(spark, sf):
 @register("i10_ensemble_score")
 def i10_ensemble_score(spark, sf):
     ds, scores, ens = _fit_all(spark, sf)
-    base = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/models/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
     ens.save(spark, path)
     loaded = ML.Ensemble.load(spark, path)
     return loaded.score(ds.filter(F.col("split") == "test"), scores).drop("proba")

@@ -16,13 +16,12 @@ from penprint.plans import queries_collect as QC
 from penprint.plans.queries_core import N_AUTHORS, _clean
 from penprint.plans.queries_features import _round_all, _style_sql_round
 from penprint.plans.queries_prompting import _PS, _prompt_set, _responses_spark
-from penprint.session import checkpoint_dir
+from penprint.session import shared_dir
 from penprint.sources.corpus import load_corpus, split_text_features
 
 
 def _scratch(spark) -> str:
-    base = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/sinks/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/sinks/{uuid.uuid4().hex}"
 
 
 @register("a2_write_splits", f"WITH {O.dataset_ctes(N_AUTHORS)} SELECT doc_id, label, split FROM dataset")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from penprint import oracles as O
 from penprint.catalog import register
 from penprint.plans.queries_collect import HOST_MARKER, QUOTA, _QUOTA_SQL
-from penprint.session import checkpoint_dir
+from penprint.session import shared_dir
 from penprint.sources.corpus import LISTING_PRIORITY, read_table
 from penprint.streaming import incremental as S
 
@@ -24,8 +24,7 @@ RUNS = 3
 
 
 def _scratch(spark) -> str:
-    base = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 @register("j1_incremental_collect", f"""

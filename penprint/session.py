@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package is planned for.  AQE re-plans joins from measured
@@ -57,15 +59,23 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
     return d
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints, sinks and models: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder is set once for a single-JVM ``local`` master (tests);
+    any other master must name a folder that its executors share."""
+    d = checkpoint_dir(spark)
+    if d:
+        return d.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="penprint-shared-"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a machine-local one).
-
-    Without ``spark.checkpoint.dir`` the session's warehouse folder (shared storage on a
-    cluster) is used."""
-    spark = df.sparkSession
-    if not checkpoint_dir(spark):
-        wh = spark.conf.get("spark.sql.warehouse.dir", None)
-        checkpoint_dir(spark, fallback=f"{wh.rstrip('/')}/_checkpoints")
+    """Reliable checkpoint into the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

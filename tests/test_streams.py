@@ -117,3 +117,17 @@ def test_quota_page_cut_by_a_run_and_null_users(spark):
         state = spark.createDataFrame([tuple(r) for r in kept + changed], state.schema)
     assert sorted(got) == rows_of(want.select("user_id", "n", "page"))
     assert {(r.user_id, r.seen, r.accepted) for r in state.where("user_id = 2").collect()} == {(2, 3, 0)}
+
+
+def test_shared_folder_is_never_local_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from penprint import session
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+    class Cluster:
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    monkeypatch.setattr(session, "checkpoint_dir", lambda s, fallback=None: fallback)
+    with pytest.raises(ValueError):
+        session.shared_dir(Cluster)
