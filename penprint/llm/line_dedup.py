@@ -87,16 +87,26 @@ def line_keys(line: Column, length: Column, edits: int, least: int) -> tuple[lis
 
 
 def count_bits(line: Column, signs) -> Column:
-    """The count of each sign modulo 4 in Gray code, two bits a sign from the lowest: the bits in
-    which two such values differ are at most the steps between their counts."""
+    """The count of each one-character sign modulo 4 in Gray code, two bits a sign from the lowest: the
+    bits in which two such values differ are at most the steps between their counts."""
     bits = F.lit(0).cast("long")
     for k, sign in enumerate(signs):
-        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(sign), F.lit("")))
-        count = (F.shiftright(count, 1) if len(sign) == 2 else count).bitwiseAND(F.lit(3))
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(sign), F.lit("")))).bitwiseAND(F.lit(3))
         bits = bits.bitwiseOR(F.shiftleft(count.bitwiseXOR(F.shiftright(count, 1)).cast("long"), 2 * k))
     return bits
 
 
+def count_code(line: Column, signs) -> Column:
+    """As ``count_bits`` for signs of one size, the bits of the first sign highest: one small
+    expression over the list of signs, for the few lines that have a partner."""
+    def add(bits: Column, sign: Column) -> Column:
+        count = F.octet_length(line) - F.octet_length(F.replace(line, sign, F.lit("")))
+        count = F.shiftright(count, len(signs[0]) - 1).bitwiseAND(F.lit(3))
+        return F.shiftleft(bits, 2).bitwiseOR(count.bitwiseXOR(F.shiftright(count, 1)).cast("long"))
+
+    return F.aggregate(F.array(*[F.lit(x) for x in signs]), F.lit(0).cast("long"), add)
+
+
 def bits_apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -161,12 +171,12 @@ def common_prefix(a: Column, b: Column) -> Column:
     """Characters that two strings begin with alike, up to ``2 * LONGEST_STEP - 1``."""
     least = F.least(F.length(a), F.length(b))
 
-    def grow(p: Column, step: int) -> Column:
-        alike = (p + step <= least) & (F.substr(a, p + 1, F.lit(step)) == F.substr(b, p + 1, F.lit(step)))
-        more = F.when(alike, p + step).otherwise(p)
-        return more if step == 1 else _let(more, lambda q: grow(q, step // 2))
+    def grow(p: Column, step: Column) -> Column:
+        alike = (p + step <= least) & (F.substr(a, p + 1, step) == F.substr(b, p + 1, step))
+        return F.when(alike, p + step).otherwise(p)
 
-    return grow(F.lit(0), LONGEST_STEP)
+    steps = [F.lit(1 << k) for k in reversed(range(LONGEST_STEP.bit_length()))]
+    return F.aggregate(F.array(*steps), F.lit(0), grow)
 
 
 def trimmed_distance(a: Column, b: Column, edits: int) -> Column:
@@ -224,9 +234,9 @@ def near_lines(lines: DataFrame, edits: int, least: int) -> DataFrame:
     rows = written(partnered(lines, edits, least), "line-keys")
     wanted = written(rows.select("h1").distinct(), "line-keys")
     text = written(lines.join(sized(wanted), "h1").groupBy("h1", "h2")
-                   .agg(F.min(F.struct("d", "th", "pos")).alias("first"), F.min("line").alias("line")), "line-texts")
-    signed = text.select("h1", "h2", "first", count_bits(F.col("line"), SIGNS).alias("signs"), count_bits(F.col("line"), PAIRS).alias("pairs"))
-    known = rows.select("h1", F.shiftright("k", KEY_SHIFT).alias("key")).distinct().join(signed, "h1")
+                   .agg(F.min(F.struct("d", "th", "pos")).alias("first"), F.min("line").alias("line"))
+                   .withColumns({"signs": count_code(F.col("line"), SIGNS), "pairs": count_code(F.col("line"), PAIRS)}), "line-texts")
+    known = rows.select("h1", F.shiftright("k", KEY_SHIFT).alias("key")).distinct().join(text.drop("line"), "h1")
     open_ = pool = written(known.join(_as_other(known), (F.col("key") == F.col("okey")) & _signs_close(edits)
                                       & ((F.col("h1") != F.col("o1")) | (F.col("h2") != F.col("o2"))), "left_semi"), "line-groups")
     found = None
