@@ -1,7 +1,8 @@
 """Operator 9: corpus-wide line deduplication with a segment-partition edit join.
 
 A line goes when an equal line, or one within ``edits`` edits, occurs earlier (by doc_id,
-text hash, line number).  Equal lines meet in one aggregate.  For near ones, a line is cut
+text hash, line number).  The bound grows with the shorter line's length up to ``least`` characters
+(two edits and 24: one from 12 characters on, two from 24 on), as two edits turn any word into another.  Equal lines meet in one aggregate.  For near ones, a line is cut
 into ``edits + 1`` even segments; a line within ``edits`` edits and no shorter holds one of
 them unchanged, at a shift that its length and the segment's number bound, so each line
 posts its segments and probes those substrings of itself that could be a segment of a line
@@ -27,7 +28,7 @@ numbers join back to it by a hash join built on that narrower side, which shuffl
 of the documents once.
 
 Defined cases: a null text stays null and has no lines; blank lines always stay and are not
-counted; lines shorter than ``least`` characters are compared exactly only; rows equal in
+counted; lines too short for an edit (under 12 characters) are compared exactly only; rows equal in
 doc_id and text are one document and are treated alike; a null doc_id sorts first; a text
 that loses lines keeps the others in order; extra columns pass through, and columns named
 like the added ones are replaced.
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from penprint.llm.common import written
 
 EDITS = 2
-LEAST = 24
+LEAST = 24                 # characters from which EDITS apply; shorter lines in proportion
 LINE_BREAK = "\n"
 LETTERS = "etaoinshrdlu"   # any ASCII letters are right; frequent ones tell lines apart
 POSTED = 1                 # the bit of a line's own segments, beside two bits a letter
@@ -62,6 +63,16 @@ def segment(length: Column, k: int, i: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(i) - short, F.lit(0)), base + F.when(F.lit(i) >= short, 1).otherwise(0)
 
 
+def shortest(edits: int, least: int) -> int:
+    """Characters of the shortest line to which an edit is allowed."""
+    return -(-least // edits)
+
+
+def allowed(length: Column, edits: int, least: int) -> Column:
+    """Edits allowed between lines the shorter of which has so many characters."""
+    return F.least(F.lit(edits), F.floor(length * edits / least)).cast("int")
+
+
 def _key(line: Column, length: Column, i: int, start: Column, n: Column) -> Column:
     return F.xxhash64(length, F.lit(i), F.substr(line, (start + 1).cast("int"), n.cast("int")))
 
@@ -81,7 +92,7 @@ def line_keys(line: Column, length: Column, edits: int, least: int) -> tuple[lis
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 if shorter or shift:
                     at = start + shift
-                    fits = (other >= least) & (at >= 0) & (at + n <= length)
+                    fits = (other >= shortest(edits, least)) & (at >= 0) & (at + n <= length)
                     probes.append(F.when(fits, _key(line, other, i, at, n)))
     return own, probes
 
@@ -205,7 +216,7 @@ def partnered(lines: DataFrame, edits: int, least: int) -> DataFrame:
     letters; k is the key's hash above the signature and the posted bit."""
     line, length = F.col("line"), F.col("length")
     # The signature is a column of its own, so that the plan holds its expression once.
-    rows = (lines.select("h1", "line", F.length("line").alias("length")).where(length >= least)
+    rows = (lines.select("h1", "line", F.length("line").alias("length")).where(length >= shortest(edits, least))
             .withColumn("marks", F.shiftleft(count_bits(line, LETTERS), 1)))
     own, probes = line_keys(line, length, edits, least)
     below = (1 << KEY_SHIFT) - 1
@@ -230,7 +241,7 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """(h1, h2): the lines within ``edits`` edits of a different line that occurs earlier."""
+    """(h1, h2): the lines within the allowed edits of a different line that occurs earlier."""
     rows = written(partnered(lines, edits, least), "line-keys")
     wanted = written(rows.select("h1").distinct(), "line-keys")
     text = written(lines.join(sized(wanted), "h1").groupBy("h1", "h2")
@@ -245,7 +256,7 @@ def near_lines(lines: DataFrame, edits: int, least: int) -> DataFrame:
         if turn < ROUNDS:
             rank = F.row_number().over(Window.partitionBy("key").orderBy("first", "h1", "h2"))
             target = written(pool.withColumn("rank", rank).where(F.col("rank") <= LEADERS).drop("rank"), "line-leaders")
-        decided = written(_near_earlier(open_, target, text, edits), "line-near")
+        decided = written(_near_earlier(open_, target, text, edits, least), "line-near")
         found = decided if found is None else found.union(decided)
         if turn == ROUNDS:
             break
@@ -269,14 +280,15 @@ def _signs_close(edits: int) -> Column:
             & (bits_apart(F.col("pairs"), F.col("opairs")) <= 4 * edits))
 
 
-def _near_earlier(rows: DataFrame, target: DataFrame, text: DataFrame, edits: int) -> DataFrame:
+def _near_earlier(rows: DataFrame, target: DataFrame, text: DataFrame, edits: int, least: int) -> DataFrame:
     """(h1, h2) of ``rows`` near an earlier line of ``target`` that shares a key."""
     met = (rows.join(_as_other(target), (F.col("key") == F.col("okey")) & (F.col("earlier") < F.col("first")) & _signs_close(edits))
            .select("h1", "h2", "o1", "o2").distinct())
     pairs = (met.join(text.select("h1", "h2", F.col("line").alias("a")), ["h1", "h2"])
              .join(text.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("b")), ["o1", "o2"]))
     return (pairs.where(F.abs(F.length("a") - F.length("b")) <= edits)
-            .where(trimmed_distance(F.col("a"), F.col("b"), edits) <= edits).select("h1", "h2").distinct())
+            .where(trimmed_distance(F.col("a"), F.col("b"), edits)
+                   <= allowed(F.least(F.length("a"), F.length("b")), edits, least)).select("h1", "h2").distinct())
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -330,7 +342,8 @@ distinct_lines AS (
 near AS (
   SELECT DISTINCT b.line FROM distinct_lines a JOIN distinct_lines b
     ON b.n BETWEEN a.n - {EDITS} AND a.n + {EDITS} AND a.f < b.f
-  WHERE a.n >= {LEAST} AND b.n >= {LEAST} AND levenshtein(a.line, b.line) <= {EDITS}),
+  WHERE least(a.n, b.n) >= {shortest(EDITS, LEAST)}
+    AND levenshtein(a.line, b.line) <= least({EDITS}, least(a.n, b.n) * {EDITS} // {LEAST})),
 judged AS (
   SELECT l.doc_id, l.pos, l.line, x.line IS NOT NULL AS is_near,
          x.line IS NULL AND d.f <> struct_pack(d := l.doc_id, p := l.pos) AS is_copy

@@ -485,6 +485,29 @@ def test_line_dedup_drops_two_edits(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0}
 
 
+def test_short_lines_allow_fewer_edits(spark):
+    """An edit from 12 characters on, two from 24 on, none below; against all pairs."""
+    rnd = random.Random(12)
+    lines = []
+    for _ in range(40):
+        a = "".join(rnd.choice("abcdefgh é") for _ in range(rnd.randrange(3, 30))).strip() + "."
+        lines.append(a)
+        for _ in range(4):
+            b = list(a)
+            for _ in range(rnd.randrange(1, 3)):
+                at = rnd.randrange(len(b))
+                b[at:at + rnd.randrange(2)] = rnd.choice(["", "a", "é", "x"])
+            lines.append("".join(b) or "x")
+    lines = list(dict.fromkeys(x for x in lines if x.strip()))
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in line_dedup.line_digests(df).collect() if r.lines_near}
+    pairs = spark.createDataFrame([(i, a, lines[j]) for i, a in enumerate(lines) for j in range(i) if abs(len(a) - len(lines[j])) <= 2],
+                                  "i int, a string, b string").withColumn("x", F.levenshtein("a", "b")).collect()
+    near = {r.i for r in pairs if r.x <= min(2, min(len(r.a), len(r.b)) // 12)}
+    assert got == near and any(len(lines[i]) < 24 for i in near) and any(len(lines[i]) >= 24 for i in near)
+    assert any(r.x <= 2 and r.i not in near for r in pairs)
+
+
 # ---- 10 --------------------------------------------------------------------------------
 
 def test_permutation_index(spark):
