@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from penprint.functions.charclass import ws_class
-from penprint.functions.text import TOKEN_PATTERN, as_col
+from penprint.functions.text import DEFAULT_COUNTER, TokenCounter, as_col
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for identical results: the response
@@ -113,18 +113,9 @@ def flatten_chat(messages: Column) -> Column:
         F.lit("<|"), m["role"], F.lit("|>\n"), m["content"], F.lit("\n"))), "")
 
 
-def count_tokens_py(text: str) -> int:
-    """Driver-side token count of a constant (template size); same pattern as B14."""
-    import re
-
-    import regex
-    py_pattern = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\U%08x" % int(m.group(1), 16), TOKEN_PATTERN)
-    return len(regex.findall(py_pattern, text))
-
-
-def template_tokens(template: list[dict[str, str]]) -> int:
+def template_tokens(template: list[dict[str, str]], counter: TokenCounter = DEFAULT_COUNTER) -> int:
     # The reference counts the tokens of the template's Python ``str()`` form.
-    return count_tokens_py(str(template))
+    return counter.of_constant(str(template))
 
 
 def token_budget(n_texts, template_tok: int, max_tokens: int = DEFAULT_MAX_TOKENS,
@@ -144,17 +135,17 @@ def sentences(text) -> Column:
     return F.split(marked, SENTENCE_SEP)
 
 
-def crop_to_budget(text, budget) -> Column:
+def crop_to_budget(text, budget, counter: TokenCounter = DEFAULT_COUNTER) -> Column:
     """B15 + F8: keep the text if it has fewer tokens than ``budget``; otherwise keep the
     longest run of leading sentences whose running token total stays within the budget.
 
-    Token counts of the default counter are additive over sentences joined by a space,
-    so the running total is a prefix sum computed in one ``aggregate`` per row.
+    The running total is the sum of the sentences' own counts (with the default counter
+    also the count of the sentences joined by a space): a prefix sum in one ``aggregate`` per row.
     """
     t = as_col(text)
     b = as_col(budget).cast("long") if not isinstance(budget, int) else F.lit(budget).cast("long")
     sents = sentences(t)
-    toks = F.transform(sents, lambda s: F.regexp_count(s, F.lit(TOKEN_PATTERN)).cast("long"))
+    toks = F.transform(sents, lambda s: counter.count(s).cast("long"))
     init = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("k"), F.lit(False).alias("stop"))
 
     def step(acc, x):
@@ -166,7 +157,7 @@ def crop_to_budget(text, budget) -> Column:
 
     k = F.aggregate(toks, init, step)["k"]
     cropped = F.trim(F.array_join(F.slice(sents, 1, k), " "))
-    return F.when(F.regexp_count(t, F.lit(TOKEN_PATTERN)) < b, t).otherwise(cropped)
+    return F.when(counter.count(t) < b, t).otherwise(cropped)
 
 
 _WS = ws_class()

@@ -7,6 +7,11 @@ module constants because the DuckDB oracle (``penprint.oracles``) reuses them ve
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,14 +60,43 @@ def clean_text(text) -> Column:
     return F.trim(t)
 
 
-def count_tokens(text) -> Column:
-    """Default token count (see ``TOKEN_PATTERN``)."""
-    return F.regexp_count(as_col(text), F.lit(TOKEN_PATTERN)).cast("long")
+@dataclass(frozen=True)
+class TokenCounter:
+    """B14 as a hook: how texts fall into tokens, for C2, B15, B16 and B21 alike.
+
+    ``tokens`` gives the array of a text's tokens and ``count`` their number, as column
+    functions that also work inside array lambdas (built-in functions, no Python UDFs);
+    ``of_constant`` counts a text known on the driver, such as a template.  With
+    ``ignores_spaces`` a count does not change when white space is collapsed, so it may run
+    on texts that are not cleaned yet.
+    """
+    tokens: Callable[[Column], Column]
+    count: Callable[[Column], Column]
+    of_constant: Callable[[str], int]
+    ignores_spaces: bool = False
+
+
+def pattern_counter(pattern: str, ignores_spaces: bool = False) -> TokenCounter:
+    """Tokens are the matches of a regular expression of Java."""
+    def of_constant(text: str) -> int:
+        python = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\U%08x" % int(m.group(1), 16), pattern)
+        return len(regex.findall(python, text))
+
+    return TokenCounter(lambda t: F.regexp_extract_all(t, F.lit(pattern), 0),
+                        lambda t: F.regexp_count(t, F.lit(pattern)).cast("long"), of_constant, ignores_spaces)
+
+
+DEFAULT_COUNTER = pattern_counter(TOKEN_PATTERN, ignores_spaces=True)
+
+
+def count_tokens(text, counter: TokenCounter = DEFAULT_COUNTER) -> Column:
+    """Token count (by default of ``TOKEN_PATTERN``)."""
+    return counter.count(as_col(text))
 
 
-def tokenize_truncate(text, max_tokens: int) -> Column:
+def tokenize_truncate(text, max_tokens: int, counter: TokenCounter = DEFAULT_COUNTER) -> Column:
     """The first ``max_tokens`` tokens of a text, as an array."""
-    return F.slice(F.regexp_extract_all(as_col(text), F.lit(TOKEN_PATTERN), 0), 1, max_tokens)
+    return F.slice(counter.tokens(as_col(text)), 1, max_tokens)
 
 
 def min_chars(text, n: int = MIN_AUTHOR_TEXT_LENGTH) -> Column:
@@ -70,9 +104,9 @@ def min_chars(text, n: int = MIN_AUTHOR_TEXT_LENGTH) -> Column:
     return F.length(as_col(text)) >= n
 
 
-def min_tokens(text, n: int = MIN_CORPUS_TOKENS) -> Column:
+def min_tokens(text, n: int = MIN_CORPUS_TOKENS, counter: TokenCounter = DEFAULT_COUNTER) -> Column:
     """Strictly more than ``n`` tokens."""
-    return count_tokens(text) > n
+    return count_tokens(text, counter) > n
 
 
 def language_ok(lang, accepted=None) -> Column:

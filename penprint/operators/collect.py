@@ -111,11 +111,38 @@ def page_quota(items: DataFrame, user: str, page_order: list[str], accepted: Col
             .filter(F.col("_acc") == 1).drop("_acc"))
 
 
+def visited_pages(pages: DataFrame, author: str, page: str, last_page: str, accepted: str,
+                  limit: int | None) -> DataFrame:
+    """The listing pages ``(author, page)`` that a crawl visits: pages 1, 2, ... of an author up to
+    the last page that page 1 names, ending before a page that is missing and before the first
+    one with ``limit`` accepted items on the pages before it (F7: overshoots by up to one page).
+
+    ``pages``: rows of author, page number, the last page named there and accepted items; several
+    rows of a page add up.  An author without a page 1 is not visited; null authors and numbers are skipped.
+    """
+    totals = (pages.where(F.col(page).isNotNull() & F.col(author).isNotNull()).groupBy(author, page)
+              .agg(F.sum(accepted).alias("_pa"), F.max(last_page).alias("_last")))
+    first = totals.where(F.col(page) == 1).select(F.col(author).alias("_of"), F.col("_last").alias("_end"))
+    # Most pages beyond the end go before the ranking.
+    x = totals.drop("_last").join(first, F.col(author) == F.col("_of")).drop("_of")
+    x = x.where(F.col(page).between(1, F.coalesce("_end", F.lit(1))))
+    ranked = rank_in_group(x, [author], [page], page, "range", rank_col="_pr")
+    ranked = ranked.where(F.col("_pr") == F.col(page) - 1).drop("_group_n", "_end")    # no gap before
+    if limit is not None:
+        ranked = blocked_prefix(ranked, author, "_pr", "_pa", "_before").where(F.col("_before") < limit)
+    return ranked.select(author, page)
+
+
 def items_per_author(items: DataFrame, author: str) -> DataFrame:
     """Accepted items per author."""
     return items.groupBy(author).agg(F.count(F.lit(1)).alias("n_items"))
 
 
+def id_frontier(ids: DataFrame, done: DataFrame, key: str, done_key: str | None = None) -> DataFrame:
+    """A12 (id form): the ids of a range (``spark.range``) that are not finished yet."""
+    return pending_items(ids.select(F.col("id").alias(key)), done, key, done_key)
+
+
 def prune_tree(nodes: DataFrame, id_cols: list[str], parent_cols: list[str], bad: Column) -> DataFrame:
     """D4 core: ``blocked`` = some node on the path from the node up to (excluding) its
     root is bad, or the path ends at a parent that is not in ``nodes`` (a crawler never
@@ -174,3 +201,19 @@ def forum_rows(conv: DataFrame, author: Column, lang: Column | None = None,
         "author", F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"),
         forum_post_text("text", lang, accepted_langs).alias("text"))
     return out.filter(F.col("text").isNotNull())
+
+
+def listed_forum_rows(conv: DataFrame, listings: DataFrame, author: Column, lang: Column | None = None,
+                      accepted_langs=None) -> DataFrame:
+    """I18 (forum) over ranked listings: the threads that some listing names, each once (F6), and
+    their accepted rows (``forum_rows``) with the ``priority`` of the listing that named the thread.
+
+    ``listings``: item_id (the thread), priority, ts, event_id.  Threads of no listing go before
+    the reply tree is walked.
+    """
+    named = first_seen(listings).select(F.col("item_id").alias("_thread"), "priority")
+    x = conv.drop("priority").join(named, F.col("conv_id") == F.col("_thread")).drop("_thread")
+    rows = forum_rows(x, author, lang, accepted_langs)
+    thread = F.substring_index("item_id", "_", 1)
+    return (rows.join(named.withColumn("_thread", F.col("_thread").cast("string")), thread == F.col("_thread"))
+            .select("author", "item_id", "text", "priority"))

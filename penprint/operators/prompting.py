@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penprint.functions import prompts as P
+from penprint.functions.text import DEFAULT_COUNTER, TokenCounter
 from penprint.operators.metrics import macro_metrics, rep_mean_std
 from penprint.operators.ranking import DEFAULT_SEED, first_k_in_group, hash_key, rank_in_group
 from penprint.operators.sampling import author_counts
@@ -153,17 +154,17 @@ def read_prompt_set(spark, path: str) -> tuple[DataFrame, int]:
 
 
 def prompt_inputs(prompt_set: DataFrame, template_name: str, max_tokens: int = P.DEFAULT_MAX_TOKENS,
-                  max_new_tokens: int = P.DEFAULT_MAX_NEW_TOKENS) -> DataFrame:
-    """I13 first half: crop texts to the per-text budget (B15, B16), build each
-    repetition's example block (E8) and render one prompt per query (B17)."""
+                  max_new_tokens: int = P.DEFAULT_MAX_NEW_TOKENS, counter: TokenCounter = DEFAULT_COUNTER) -> DataFrame:
+    """I13 first half: crop texts to the per-text budget (B15, B16; tokens of ``counter``), build
+    each repetition's example block (E8) and render one prompt per query (B17)."""
     template = P.load_template(template_name)
     prompt_set = reuse(prompt_set)       # n x reps rows, read twice
     n = authors_per_rep(prompt_set)
-    budget = P.token_budget(F.col("n_authors"), P.template_tokens(template), max_tokens, max_new_tokens)
+    budget = P.token_budget(F.col("n_authors"), P.template_tokens(template, counter), max_tokens, max_new_tokens)
     cropped = (prompt_set.join(n, "rep")
                .withColumn("budget", budget)
-               .withColumn("query_text", P.crop_to_budget("query_text", F.col("budget")))
-               .withColumn("example_text", P.crop_to_budget("example_text", F.col("budget"))))
+               .withColumn("query_text", P.crop_to_budget("query_text", F.col("budget"), counter))
+               .withColumn("example_text", P.crop_to_budget("example_text", F.col("budget"), counter)))
     blocks = example_block(cropped)
     rows = cropped.join(blocks, "rep")
     msgs = P.render_messages(template, {"query_text": F.col("query_text"), "example_text": F.col("examples")})

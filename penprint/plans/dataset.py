@@ -18,18 +18,21 @@ from penprint.session import reuse
 from penprint.sources.corpus import dedup_corpus, documents_corpus
 
 
-def clean_corpus(corpus: DataFrame, min_tokens: int = T.MIN_CORPUS_TOKENS) -> DataFrame:
+def clean_corpus(corpus: DataFrame, min_tokens: int = T.MIN_CORPUS_TOKENS,
+                 counter: T.TokenCounter = T.DEFAULT_COUNTER) -> DataFrame:
     """I14 body on a raw corpus: H2 dedup, B1 cleaning, C2 (> ``min_tokens`` tokens).
 
     The token count depends on the raw text only, so it is computed inside the dedup
-    aggregate (in its partial, map-side stage) on the URL-masked text, and the filter on
+    aggregate (in its partial, map-side stage) on the URL-masked text (on the cleaned one
+    if the counter minds white space), and the filter on
     that aggregate output cannot be pushed back into the scan: on an under-split input
     the regex work runs after ``spread`` instead of in the single scan task.  Full
     cleaning runs once, after the shuffle, on the surviving rows only.
     """
+    counted = T.mask_urls("text") if counter.ignores_spaces else T.clean_text("text")
     deduped = (corpus.groupBy("label", "text")
                .agg(F.min("doc_id").alias("doc_id"),
-                    F.max(T.count_tokens(T.mask_urls("text"))).alias("_ntok")))
+                    F.max(T.count_tokens(counted, counter)).alias("_ntok")))
     kept = deduped.filter(F.col("_ntok") > min_tokens)
     return kept.select("doc_id", "label", T.clean_text("text").alias("text"))
 

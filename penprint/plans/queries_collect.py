@@ -253,6 +253,63 @@ def i18_collect_news(spark, sf):
     return x.filter(F.col("text").isNotNull())
 
 
+# -- I18 forum over ranked listings (F6), with the language check of B5 -------------------
+FORUM_LANGS = ("en",)
+_CONV_LANG_SQL = "CASE WHEN length(text) % 3 = 0 THEN 'fr' ELSE 'en' END"      # fixture language
+
+
+def _conv_lang():
+    return F.when(F.length("text") % 3 == 0, F.lit("fr")).otherwise(F.lit("en"))
+
+
+@register("i18_collect_forum_listed", f"""{_TREE_SQL},
+l AS (SELECT user_id AS item_id, CAST(min(CASE event_type {' '.join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(LISTING_PRIORITY))} END)
+             AS INTEGER) AS priority FROM events
+      WHERE event_type IN ({', '.join(f"'{n}'" for n in LISTING_PRIORITY)}) GROUP BY user_id),
+x AS (SELECT c.conv_id, c.turn, {_AUTHOR_SQL} AS author, c.text, w.blocked, l.priority FROM conversations c
+      JOIN walk w ON c.conv_id = w.conv_id AND c.turn = w.turn JOIN l ON l.item_id = c.conv_id),
+k AS (SELECT author, CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS item_id, priority,
+             CASE WHEN {_CONV_LANG_SQL} IN ({', '.join(O.q(x) for x in FORUM_LANGS)})
+                  THEN {O.author_text(O.strip_markdown('text'))} END AS text FROM x
+      WHERE CASE WHEN turn = 0 THEN {_valid_author_sql('author')} AND text <> '' ELSE NOT blocked END)
+SELECT author, item_id, text, priority FROM k WHERE text IS NOT NULL""")
+def i18_collect_forum_listed(spark, sf):
+    return C.listed_forum_rows(read_table(spark, sf, "conversations"), listing_union(spark, sf), _author_spark(),
+                               _conv_lang(), FORUM_LANGS)
+
+
+# -- I18 news under a quota over an author's listing pages (B10, F7) ----------------------
+NEWS_QUOTA = 2
+
+
+@register("i18_collect_news_pages", f"""
+WITH a AS (SELECT page_id, {O.user_from_url('url', HOST_MARKER)} AS author, url AS article_url, {O.html_main_text('html')} AS text,
+             CASE WHEN regexp_extract(url, '[?&]page=([0-9]+)', 1) = '' THEN 1
+                  ELSE CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS INTEGER) END AS page_no,
+             coalesce(TRY_CAST(coalesce(list_extract(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1),
+                                                     '<a[^>]*>([^<]*)</a>', 1), -2), '1') AS INTEGER), 9) AS last_page
+      FROM pages WHERE NOT (html IS NULL OR contains(html, 'class="c-404"'))),
+pg AS (SELECT author, page_no, count(text) AS pa, max(last_page) AS last_page FROM a GROUP BY author, page_no),
+pe AS (SELECT author, last_page AS end_page FROM pg WHERE page_no = 1),
+pr AS (SELECT pg.author, page_no, pa, row_number() OVER (PARTITION BY pg.author ORDER BY page_no) AS rn
+       FROM pg JOIN pe ON pg.author = pe.author WHERE page_no BETWEEN 1 AND end_page),
+pb AS (SELECT author, page_no, coalesce(sum(pa) OVER (PARTITION BY author ORDER BY page_no
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pr WHERE rn = page_no)
+SELECT a.author, article_url, a.page_no, text FROM a JOIN pb ON a.author = pb.author AND a.page_no = pb.page_no
+WHERE pb.before < {NEWS_QUOTA} AND text IS NOT NULL""")
+def i18_collect_news_pages(spark, sf):
+    p = load_pages(spark, sf).filter(~H.missing_page("html"))
+    # The fixture's pagination links hold words, which stand for nine pages.
+    x = p.select(H.user_from_url("url", HOST_MARKER).alias("author"), F.col("url").alias("article_url"),
+                 H.current_page("url").alias("page_no"),
+                 F.coalesce(H.last_page_label("html").try_cast("int"), F.lit(9)).alias("last_page"),
+                 H.html_main_text("html", ("ad",)).alias("text"))
+    x = x.withColumn("accepted", F.col("text").isNotNull().cast("int"))
+    visited = C.visited_pages(x, "author", "page_no", "last_page", "accepted", NEWS_QUOTA)
+    return (x.join(visited, ["author", "page_no"], "left_semi").where(F.col("accepted") == 1)
+            .select("author", "article_url", "page_no", "text"))
+
+
 # -- I18 reviews: item rows of every page under a per-author quota over listing pages --
 REVIEW_QUOTA = 8
 
@@ -354,3 +411,14 @@ def a12_author_frontier(spark, sf):
     p = load_pages(spark, sf)
     links = p.select(F.explode(H.html_links("html")).alias("href"))
     return links.select(H.user_from_url("href", "/").alias("author")).distinct()
+
+
+FRONTIER_IDS = (1, 1000)           # the id range of the work list
+
+
+@register("a12_id_frontier", f"""
+SELECT r AS c_custkey FROM range({FRONTIER_IDS[0]}, {FRONTIER_IDS[1]}) t(r)
+WHERE r NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)""")
+def a12_id_frontier(spark, sf):
+    done = read_table(spark, sf, "orders").where(F.col("o_totalprice") > 300000)
+    return C.id_frontier(spark.range(*FRONTIER_IDS), done, "c_custkey", "o_custkey")
