@@ -98,24 +98,28 @@ def line_keys(line: Column, length: Column, edits: int, least: int) -> tuple[lis
 
 
 def count_bits(line: Column, signs) -> Column:
-    """The count of each one-character sign modulo 4 in Gray code, two bits a sign from the lowest: the
-    bits in which two such values differ are at most the steps between their counts."""
+    """The count of each one-character sign modulo 4, two bits a sign from the lowest."""
     bits = F.lit(0).cast("long")
     for k, sign in enumerate(signs):
-        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(sign), F.lit("")))).bitwiseAND(F.lit(3))
-        bits = bits.bitwiseOR(F.shiftleft(count.bitwiseXOR(F.shiftright(count, 1)).cast("long"), 2 * k))
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(sign), F.lit("")))
+        bits = bits.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(3)).cast("long"), 2 * k))
     return bits
 
 
+def gray(bits: Column) -> Column:
+    """Such counts in Gray code: the bits in which two values differ are at most the steps between
+    their counts."""
+    return bits.bitwiseXOR(F.shiftright(bits, 1).bitwiseAND(F.lit(0x5555555555555555)))
+
+
 def count_code(line: Column, signs) -> Column:
-    """As ``count_bits`` for signs of one size, the bits of the first sign highest: one small
+    """Counts of signs of one size in Gray code, the bits of the first sign highest: one small
     expression over the list of signs, for the few lines that have a partner."""
     def add(bits: Column, sign: Column) -> Column:
         count = F.octet_length(line) - F.octet_length(F.replace(line, sign, F.lit("")))
-        count = F.shiftright(count, len(signs[0]) - 1).bitwiseAND(F.lit(3))
-        return F.shiftleft(bits, 2).bitwiseOR(count.bitwiseXOR(F.shiftright(count, 1)).cast("long"))
+        return F.shiftleft(bits, 2).bitwiseOR(F.shiftright(count, len(signs[0]) - 1).bitwiseAND(F.lit(3)).cast("long"))
 
-    return F.aggregate(F.array(*[F.lit(x) for x in signs]), F.lit(0).cast("long"), add)
+    return F.aggregate(F.array(*[F.lit(x) for x in signs]), F.lit(0).cast("long"), add, gray)
 
 
 def bits_apart(a: Column, b: Column) -> Column:
@@ -215,9 +219,9 @@ def partnered(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(h1, k): the key rows that another line shares, posted by one of the two, with nearly its
     letters; k is the key's hash above the signature and the posted bit."""
     line, length = F.col("line"), F.col("length")
-    # The signature is a column of its own, so that the plan holds its expression once.
+    # The counts are a column of their own, so that the plan holds their expression once.
     rows = (lines.select("h1", "line", F.length("line").alias("length")).where(length >= shortest(edits, least))
-            .withColumn("marks", F.shiftleft(count_bits(line, LETTERS), 1)))
+            .withColumn("counts", count_bits(line, LETTERS)).withColumn("marks", F.shiftleft(gray(F.col("counts")), 1)))
     own, probes = line_keys(line, length, edits, least)
     below = (1 << KEY_SHIFT) - 1
     marks = F.col("marks")
