@@ -7,7 +7,8 @@ a document's score is the byte-weighted mean of its windows' probabilities.  Tra
 plain numpy (cross-entropy, Adam); a one-hot convolution is a sum of per-byte table rows,
 so scoring adds rows of byte-pair tables.
 
-Fit: at most ``FIT_DOCS`` labelled documents a language (smallest hash of doc_id first) and
+Fit: at most ``FIT_DOCS`` labelled rows a language (smallest hash of doc_id first; repeats of a row
+count, and are learnt once) and
 ``FIT_WINDOWS`` windows spread over each whole text; those bounds are parameters, and only
 these windows reach the driver.  Every text is scored whole, in one pass without a shuffle.
 
@@ -180,10 +181,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS) -> ByteCnn | None:
     """Train on a bounded sample of labelled rows that are not held out; None without any."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & _has_letter(text_col))
-    pick = (labelled.select(F.col(id_col).alias("__fit_id"), F.col(lang_col).alias("__fit_lang"))
-            .withColumn("__fit_n", F.row_number().over(Window.partitionBy("__fit_lang").orderBy(F.xxhash64("__fit_id"), "__fit_id")))
-            .where(F.col("__fit_n") <= fit_docs).select("__fit_id").distinct())
+    labelled = (docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col) & _has_letter(text_col))
+                .select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"),
+                        F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text_hash")
+    pick = (labelled.select("id", "lang", "text_hash").withColumn("n", F.row_number().over(first))
+            .where(F.col("n") <= fit_docs).drop("n").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,9 +200,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()),
                                               pa.array(cuts, pa.binary())], names=["id", "lang", "cut"])
 
-    # At most fit_docs rows a language are broadcast.
-    rows = (labelled.join(F.broadcast(pick), F.col(id_col) == F.col("__fit_id"))
-            .select(F.col(id_col).cast("long"), F.col(lang_col), _lowered(text_col)))
+    # At most fit_docs rows a language are broadcast, and as many are left: rows of one id and text are one.
+    rows = (labelled.join(F.broadcast(pick), ["id", "lang", "text_hash"]).dropDuplicates(["id", "lang", "text_hash"])
+            .select("id", "lang", _lowered("text")))
     got = sorted(map_arrow(rows, run, "id long, lang string, cut binary").collect())
     if not got:
         return None

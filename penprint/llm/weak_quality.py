@@ -196,8 +196,11 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=["doc_id", "votes", "k", "v"])
 
     ids = F.col(id_col).cast("long")
-    sample = (docs.join(F.broadcast(pick), ids == F.col("__fit_id"))                # fit_docs rows at most
-              .select(ids.alias("doc_id"), utf8(text_col).alias("raw")))
+    # fit_docs ids are broadcast; rows of one id and text are one, and fit_docs rows are left.
+    sample = (docs.join(F.broadcast(pick), ids == F.col("__fit_id"))
+              .select(ids.alias("doc_id"), utf8(text_col).alias("raw"))
+              .withColumn("text_hash", F.xxhash64("raw")).dropDuplicates(["doc_id", "text_hash"])
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(fit_docs).select("doc_id", "raw"))
     got = sorted(map_arrow(sample, features, "doc_id long, votes int, k binary, v binary").collect(),
                  key=lambda r: (r.doc_id, r.votes, bytes(r.k)))
     rows = [(np.frombuffer(bytes(r.k), np.int32), np.frombuffer(bytes(r.v), np.float32)) for r in got]

@@ -392,6 +392,23 @@ def test_language_model(spark, odd):
     assert {r.lang_pred for r in byte_cnn.with_language(odd, byte_cnn.fit(odd.limit(0))).collect()} == {"und"}
 
 
+def test_fit_samples_are_bounded_in_rows(spark, monkeypatch):
+    """Ids repeated over many rows, of one text and of many, do not widen the samples of the fits."""
+    words = ["un texte français de tous les jours", "an english text of every day", "ein deutscher text von heute"]
+    rows = [(7 if k % 2 else k, words[k % 3] + f" {k if k % 4 else 0}", ["fr", "en", "de"][k % 3]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen = []
+    monkeypatch.setattr(byte_cnn, "train", lambda windows, labels, langs: seen.append(np.bincount(labels, minlength=len(langs))))
+    byte_cnn.fit(docs, fit_docs=20, fit_windows=1)
+    assert len(seen[0]) == 3 and seen[0].max() <= 20 and seen[0].min() > 0
+    fitted = []
+    real = weak_quality.train
+    monkeypatch.setattr(weak_quality, "train", lambda got, labels, **o: fitted.append(len(got)) or real(got, labels, **o))
+    bad = spark.createDataFrame([(7, "## $$ %% && ** || @@ ^^ ~~ <> {} " * 9 + str(k), "en") for k in range(300)], docs.schema)
+    assert weak_quality.quality_scores(docs.union(bad), fit_docs=50).count() == 900
+    assert all(n <= 50 for n in fitted)
+
+
 # ---- 9 ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
