@@ -29,10 +29,15 @@ from penprint.streaming.change_table import ChangeTable
 
 
 def file_stream(spark: SparkSession, directory: str, pattern: str, schema, max_files: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """The files below ``directory`` whose names match ``pattern``; where that is the name of a
+    folder (a table written by Spark), the files in it."""
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(directory)
+    table = spark._jvm.org.apache.hadoop.fs.Path(f"{directory.rstrip('/')}/{pattern}")
+    if table.getFileSystem(spark._jsc.hadoopConfiguration()).isDirectory(table):
+        return r.parquet(table.toString())
+    return r.option("pathGlobFilter", pattern).parquet(directory)
 
 
 def news_rows(pages: DataFrame, boilerplate=NEWS_BOILERPLATE, host_marker: str = "://") -> DataFrame:
