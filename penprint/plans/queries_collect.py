@@ -10,6 +10,7 @@ from penprint.catalog import register
 from penprint.functions import html as H
 from penprint.functions import text as T
 from penprint.operators import collect as C
+from penprint.session import reuse
 from penprint.sources.corpus import LISTING_PRIORITY, listing_union, load_pages, read_table
 
 PAGE_ID_PREFIX = "/[a-z]{2}/"      # fixture page URLs look like http://host/xx/123?...
@@ -304,7 +305,8 @@ def i18_collect_news_pages(spark, sf):
                  H.current_page("url").alias("page_no"),
                  F.coalesce(H.last_page_label("html").try_cast("int"), F.lit(9)).alias("last_page"),
                  H.html_main_text("html", ("ad",)).alias("text"))
-    x = x.withColumn("accepted", F.col("text").isNotNull().cast("int"))
+    # Read by the pages' counts, their ranking and the join: every page is parsed once.
+    x = reuse(x.withColumn("accepted", F.col("text").isNotNull().cast("int")))
     visited = C.visited_pages(x, "author", "page_no", "last_page", "accepted", NEWS_QUOTA)
     return (x.join(visited, ["author", "page_no"], "left_semi").where(F.col("accepted") == 1)
             .select("author", "article_url", "page_no", "text"))
@@ -342,7 +344,7 @@ SELECT author, item_id, r.page_id, r.pos, r.text FROM r
 JOIN pb USING (author, page_no, page_id)
 WHERE pb.before < {REVIEW_QUOTA} AND r.text IS NOT NULL""")
 def i18_collect_reviews(spark, sf):
-    rows = _review_rows(spark, sf)
+    rows = reuse(_review_rows(spark, sf))        # read by the quota and by the join: pages are parsed once
     kept = C.page_quota(rows, "author", ["page_no", "page_id"], F.col("text").isNotNull(), REVIEW_QUOTA)
     return kept.select("author", "item_id", "page_id", "pos", "text")
 

@@ -111,3 +111,14 @@ def test_scaling_by_one_row_a_feature(spark):
     two = df.select(F.col("b")[0].alias("x"), F.lit(4).alias("y"))
     assert ML.fit_standardizer(two, ["x", "y"]) == {"x": (2.0, 1.0), "y": (4.0, 1.0)}
     assert ML.fit_standardizer(two.limit(0), ["x"]) == {"x": (0.0, 1.0)}
+
+
+@pytest.mark.parametrize("name", ["i18_collect_reviews", "i18_collect_news_pages"])
+def test_collected_pages_are_parsed_once(spark, tmp_path, name):
+    from penprint.catalog import load_all
+    html = "<html lang=\"en\"><article><p>A paragraph of page {0} that is long enough to be kept by the rules.</p></article></html>"
+    rows = [(k, f"https://host{k % 2}/item/{k}?page=1", html.format(k)) for k in range(6)] + [(6, "https://host0/item/6", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = load_all()[name][0](spark, str(tmp_path))
+    assert "InMemoryTableScan" in _plan(got) and "Scan parquet" not in _plan(got).split("InMemoryRelation")[0]
+    assert got.count() == 6
