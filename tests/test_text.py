@@ -1,10 +1,14 @@
 """Golden scalars for the text, HTML and response functions (SURVEY B1-B3, B11, B12,
 B15, B18, C3)."""
 
+import importlib.util
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import one
+from penprint.functions import charclass
 from penprint.functions import html as H
 from penprint.functions import prompts as P
 from penprint.functions import text as T
@@ -120,3 +124,17 @@ def test_template_fill_is_simultaneous(spark):
 def test_unknown_template():
     with pytest.raises(ValueError):
         P.load_template("de")
+
+
+def test_lower_case_table_is_small_and_whole():
+    """Every driver holds it: with all 1.1 million code points it took 300 MB of its memory."""
+    spec = importlib.util.spec_from_file_location("charclass_unused", charclass.__file__)
+    fresh = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(fresh)
+    tracemalloc.start()
+    found = {c: fresh.lower_preimage(c) for c in ("a", "k", "å", "č", "i", "5", "é", "A", "ß", "i̇", "")}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    assert found == {"a": "Aa", "k": "Kk\u212a", "å": "Åå\u212b", "č": "Čč", "i": "Ii", "5": "5", "é": "Éé", "A": "A",
+                     "ß": "ß\u1e9e", "i̇": "i̇", "": ""}
